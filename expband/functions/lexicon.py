@@ -139,6 +139,9 @@ TITLE_NUMERAL = r"\b(II|III|IV)\b"
 NUMERAL_BANDS = {"II": 2, "III": 3, "IV": 3}
 
 SENTENCE_BREAK = r"(?:(?<=[.!?])\s+|\n+|(?:^|\n)\s*[+\-*•])"
+# no match of a mention, negation or headcount pattern reaches past such a character,
+# save in a bracketed aside or after "yr.", "yrs." and "min."
+HARD_BREAK = r"[.!?:•*](?<!(?iu:yrs?|min)\.)(?<!\([^)]{0,41})"
 BULLET_LINE = r"\n[+\-*] |\n•"
 
 # --------------------------------------------------------------------------
@@ -147,6 +150,7 @@ BULLET_LINE = r"\n[+\-*] |\n•"
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+EDUCATION_TRIGGER = rf"\+\s*(?:{NUMBER})\s*{UNIT}"
 _CLASSES = {
     r"\w": WORD,
     r"\s": SPACE,

@@ -53,80 +53,81 @@ def _first_band(text: str, table: tuple[tuple[str, int], ...]) -> str:
     return f"CASE {whens} END"
 
 
-def _mention_stages(text: str, out: str) -> list[Stage]:
-    """Years mentions of one text field, in family order, without overlaps."""
-    low = f"{out}_low"
-    worth = (sp.mentions_any(text, low, ("year", "yr")) + " AND " +
-             sp.mentions_any(text, low, ("exp", "background", "track", "work", "hands")))
-    found: Stage = {}
-    for kind, pattern in lx.MENTION_FAMILIES:
-        quick = pattern if kind == "explicit_min" else lx.number_first(pattern)
-        found[f"{out}_{kind}"] = (f"CASE WHEN {worth} THEN regexp_extract_all("
-                                  f"{text}, {sp.regex(quick)}, 0) "
-                                  "ELSE cast(array() AS array<string>) END")
+def _segments(text: str, odd: str) -> str:
+    """Pieces of a text in which a mention, a negation or a headcount can occur."""
+    def near(words: tuple[str, ...]) -> str:
+        return f"({odd} OR {sp.contains_any('low', words)})"
+    years = near(("year", "yr")) + " AND " + near(
+        ("exp", "background", "track", "work", "hands"))
+    return sp.segments(text, {
+        "years": years,
+        "denies": near(("experience", "level", "train")),
+        "heads": near(("manag", "lead", "oversee", "supervis", "direct")),
+    })
+
+
+def _mentions(text: str, segs: str) -> list[str]:
+    """Two steps: all usable mentions in family order, then those without overlap."""
     parts = []
     for kind, pattern in lx.MENTION_FAMILIES:
+        quick = pattern if kind == "explicit_min" else lx.number_first(pattern)
         n = [parse_number(f"regexp_extract(s.body, {sp.regex(pattern)}, {g})") for g in (1, 2)]
+        lo, hi = n[0], "cast(NULL AS double)"
         if kind == "explicit_range":
-            lo, hi = f"least({n[0]}, {n[1]})", f"greatest({n[0]}, {n[1]})"
-            usable = f"{n[0]} IS NOT NULL AND {n[1]} IS NOT NULL"
-            lo = f"CASE WHEN {usable} THEN {lo} END"
-        else:
-            lo, hi = n[0], "cast(NULL AS double)"
-        parts.append(
-            f"transform({sp.match_spans(text, pattern, f'{out}_{kind}')}, s -> named_struct("
-            f"'lo', {lo}, 'hi', {hi}, 'start', s.start, 'end', s.end, 'kind', '{kind}'))")
+            lo = f"CASE WHEN {n[0]} IS NOT NULL AND {n[1]} IS NOT NULL THEN least({n[0]}, {n[1]}) END"
+            hi = f"greatest({n[0]}, {n[1]})"
+        found = (f"transform({sp.match_spans('g.body', quick)}, s -> named_struct("
+                 f"'lo', {lo}, 'hi', {hi}, 'start', g.start + s.start, "
+                 f"'end', g.start + s.end, 'kind', '{kind}'))")
+        parts.append(f"flatten(transform(places, g -> {found}))")
     begin = f"greatest(m.start - {lx.TENURE_LOOKBACK}, 0)"
     before = f"substring({text}, {begin} + 1, m.start - {begin})"
     usable = (f"coalesce(m.hi, m.lo) <= {lx.MAX_YEARS} AND "
               f"NOT {before} RLIKE {sp.regex(lx.COMPANY_TENURE)}")
-    disjoint = (f"aggregate({out}_usable, cast(array() AS {MENTION_TYPE}), (kept, m) -> CASE "
-                "WHEN exists(kept, k -> m.end > k.start AND m.start < k.end) "
-                "THEN kept ELSE array_append(kept, m) END)")
-    none = " AND ".join(f"size({out}_{kind}) = 0" for kind, _ in lx.MENTION_FAMILIES)
     empty = f"cast(array() AS {MENTION_TYPE})"
-    return [
-        {low: f"lower({text})"},
-        found,
-        {f"{out}_usable": f"CASE WHEN {none} THEN {empty} ELSE "
-                          f"filter(concat({', '.join(parts)}), m -> {usable}) END"},
-        {out: f"CASE WHEN size({out}_usable) <= 1 THEN {out}_usable ELSE {disjoint} END"},
-    ]
+    first = sp.let("places", f"filter({segs}, g -> g.years)",
+                   f"CASE WHEN size(places) = 0 THEN {empty} ELSE "
+                   f"filter(concat({', '.join(parts)}), m -> {usable}) END")
+    second = (f"CASE WHEN size({{0}}) <= 1 THEN {{0}} ELSE aggregate({{0}}, {empty}, (kept, m) -> "
+              "CASE WHEN exists(kept, k -> m.end > k.start AND m.start < k.end) "
+              "THEN kept ELSE array_append(kept, m) END) END")
+    return [first, second]
+
+
+def _first_match(segs: str, flag: str, pattern: str) -> str:
+    """First segment in which a pattern matches, or null."""
+    return f"get(filter({segs}, g -> g.{flag} AND g.body RLIKE {sp.regex(pattern)}), 0)"
 
 
-def _negation(text: str, low: str) -> str:
-    worth = sp.mentions_any(text, low, ("experience", "level", "train"))
-    tries = ", ".join(sp.first_span(text, p) for p in lx.NEGATIONS)
-    return f"CASE WHEN {worth} THEN coalesce({tries}) END"
+def _negation(segs: str) -> str:
+    tries = [sp.let("g", _first_match(segs, "denies", p),
+                    f"CASE WHEN g IS NOT NULL THEN {sp.first_span('g.body', p, 'g.start')} END")
+             for p in lx.NEGATIONS]
+    return f"CASE WHEN exists({segs}, g -> g.denies) THEN coalesce({', '.join(tries)}) END"
 
 
-def _education(text: str) -> list[Stage]:
-    found = (f"CASE WHEN contains({text}, '+') THEN regexp_extract_all({text}, "
-             f"{sp.regex(lx.EDUCATION_SUBSTITUTE)}, 0) ELSE cast(array() AS array<string>) END")
+def _education(text: str) -> str:
     n = [parse_number(f"regexp_extract(s.body, {sp.regex(lx.EDUCATION_SUBSTITUTE)}, {g})")
          for g in (1, 2)]
-    rows = (f"transform({sp.match_spans(text, lx.EDUCATION_SUBSTITUTE, 'x_edu_found')}, "
+    rows = (f"transform({sp.match_spans(text, lx.EDUCATION_SUBSTITUTE)}, "
             f"s -> named_struct('first', {n[0]}, 'second', {n[1]}, "
             "'start', s.start, 'end', s.end))")
     best = ("named_struct('years', least(e.first, e.second), 'start', e.start, 'end', e.end)")
     usable = f"get(filter({rows}, e -> e.first IS NOT NULL AND e.second IS NOT NULL), 0)"
-    return [
-        {"x_edu_found": found},
-        {"x_edu": "CASE WHEN size(x_edu_found) > 0 THEN "
-                  + sp.let("e", usable, f"CASE WHEN e IS NOT NULL THEN {best} END") + " END"},
-    ]
+    found = sp.let("e", usable, f"CASE WHEN e IS NOT NULL THEN {best} END")
+    return (f"CASE WHEN contains({text}, '+') AND {text} RLIKE {sp.regex(lx.EDUCATION_TRIGGER)} "
+            f"THEN {found} END")
 
 
-def _management(text: str, low: str) -> str:
-    def count_and_span(pattern: str, words: tuple[str, ...]) -> str:
-        n = f"int({parse_number(f'regexp_extract({text}, {sp.regex(pattern)}, 1)')})"
-        return (f"CASE WHEN {sp.mentions_any(text, low, words)} THEN "
-                + sp.let("w", sp.first_span(text, pattern),
-                         f"CASE WHEN w IS NOT NULL THEN named_struct('n', {n}, "
-                         "'start', w.start, 'end', w.end) END") + " END")
-    return ("coalesce("
-            + count_and_span(lx.MANAGES_PEOPLE, ("manag", "lead", "oversee", "supervis")) + ", "
-            + count_and_span(lx.DIRECT_REPORTS, ("direct",)) + ")")
+def _management(segs: str) -> str:
+    def count_and_span(pattern: str) -> str:
+        n = f"int({parse_number(f'regexp_extract(g.body, {sp.regex(pattern)}, 1)')})"
+        hit = sp.let("w", sp.first_span("g.body", pattern, "g.start"),
+                     f"named_struct('n', {n}, 'start', w.start, 'end', w.end)")
+        return sp.let("g", _first_match(segs, "heads", pattern),
+                      f"CASE WHEN g IS NOT NULL THEN {hit} END")
+    return (f"CASE WHEN exists({segs}, g -> g.heads) THEN coalesce("
+            f"{count_and_span(lx.MANAGES_PEOPLE)}, {count_and_span(lx.DIRECT_REPORTS)}) END")
 
 
 def _best(mentions: str, anchor: str) -> str:
@@ -138,27 +139,36 @@ def _best(mentions: str, anchor: str) -> str:
 def signal_stages(title: str = "title", description: str = "description") -> list[Stage]:
     """Everything the rules and the numeric features read from the two texts."""
     numerals = " ".join(f"WHEN '{k}' THEN {v}" for k, v in lx.NUMERAL_BANDS.items())
-    title_plan = _mention_stages("x_title", "x_title_mentions")
-    desc_plan = _mention_stages("x_desc", "x_mentions")
-    stages = [{"x_title": f"coalesce({title}, '')", "x_desc": f"coalesce({description}, '')"}]
-    stages += [{**a, **b} for a, b in zip(title_plan, desc_plan)]
-    edu = _education("x_desc")
-    low = "x_mentions_low"
-    stages[2].update(edu[0])
-    stages[3].update(edu[1])
-    stages[3].update({
-        "x_negation": _negation("x_desc", low),
-        "x_title_negation": _negation("x_title", "x_title_mentions_low"),
-        "x_management": _management("x_desc", low),
-        "x_senior": f"x_title RLIKE {sp.regex(lx.STRONG_SENIOR)}",
-        "x_executive": f"x_title RLIKE {sp.regex(lx.EXECUTIVE_TITLE)}",
-        "x_strong_title": _first_band("x_title", lx.STRONG_TITLES),
-        "x_numeral": "CASE get(reverse(regexp_extract_all(x_title, "
-                     f"{sp.regex(lx.TITLE_NUMERAL, ignore_case=False)}, 1)), 0) {numerals} END",
-        "x_title_lexicon": _first_band("x_title", lx.TITLE_SENIORITY),
-    })
-    stages.append({"x_seniority": "coalesce(x_numeral, x_title_lexicon)"})
-    return stages
+    of_title = _mentions("x_title", "x_title_segs")
+    of_desc = _mentions("x_desc", "x_segs")
+    return [
+        {"x_title": f"coalesce({title}, '')", "x_desc": f"coalesce({description}, '')"},
+        {"x_title_odd": sp.has_case_alias("x_title"), "x_desc_odd": sp.has_case_alias("x_desc")},
+        {
+            "x_title_segs": _segments("x_title", "x_title_odd"),
+            "x_segs": _segments("x_desc", "x_desc_odd"),
+        },
+        {
+            "x_title_found": of_title[0],
+            "x_found": of_desc[0],
+            "x_negation": _negation("x_segs"),
+            "x_title_negation": _negation("x_title_segs"),
+            "x_edu": _education("x_desc"),
+            "x_management": _management("x_segs"),
+            "x_senior": f"x_title RLIKE {sp.regex(lx.STRONG_SENIOR)}",
+            "x_executive": f"x_title RLIKE {sp.regex(lx.EXECUTIVE_TITLE)}",
+            "x_strong_title": _first_band("x_title", lx.STRONG_TITLES),
+            "x_numeral": "CASE get(reverse(regexp_extract_all(x_title, "
+                         f"{sp.regex(lx.TITLE_NUMERAL, ignore_case=False)}, 1)), 0) "
+                         f"{numerals} END",
+            "x_title_lexicon": _first_band("x_title", lx.TITLE_SENIORITY),
+        },
+        {
+            "x_title_mentions": of_title[1].format("x_title_found"),
+            "x_mentions": of_desc[1].format("x_found"),
+            "x_seniority": "coalesce(x_numeral, x_title_lexicon)",
+        },
+    ]
 
 
 def hit_stages() -> list[Stage]:
@@ -255,10 +265,21 @@ def rule_hits(df: DataFrame, title: str = "title",
     return drop_signals(add_columns(add_signals(df, title, description), hit_stages()))
 
 
+def mention_stages(text: str) -> list[Stage]:
+    steps = _mentions("x_text", "x_segs")
+    return [
+        {"x_text": f"coalesce({text}, '')"},
+        {"x_odd": sp.has_case_alias("x_text")},
+        {"x_segs": _segments("x_text", "x_odd")},
+        {"x_found": steps[0]},
+        {"x_mentions": steps[1].format("x_found")},
+    ]
+
+
 def mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
     """Add ``out``: the years mentions of one text column, as an array of structs."""
-    stages = [{"x_text": f"coalesce({text}, '')"}, *_mention_stages("x_text", "x_found")]
-    return drop_signals(add_columns(df, stages).withColumn(out, F.col("x_found")))
+    return drop_signals(add_columns(df, mention_stages(text))
+                        .withColumn(out, F.col("x_mentions")))
 
 
 def sentences(df: DataFrame, text: str, out: str = "sentences") -> DataFrame:

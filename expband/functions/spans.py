@@ -10,6 +10,7 @@ from __future__ import annotations
 from expband.functions import lexicon as lx
 
 BLOCK = 512
+MARK, STAND_IN = "\x01", "\x02"
 
 
 def literal(text: str) -> str:
@@ -41,15 +42,17 @@ def strip(text: str) -> str:
     return f"trim(BOTH {literal(lx.SPACES)} FROM {text})"
 
 
-def mentions_any(text: str, lowered: str, words: tuple[str, ...]) -> str:
-    """Cheap test, never false for a text in which one of ``words`` occurs case-blind.
+def contains_any(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {literal(w)})" for w in words) + ")"
 
-    A byte search in the lower-cased text; texts with one of the few letters beyond
-    ASCII that match an ASCII letter case-blind pass without a closer look.
+
+def has_case_alias(text: str) -> str:
+    """True if a letter beyond ASCII occurs that matches an ASCII letter case-blind.
+
+    Lower-casing does not map these letters, so a word search in the lower-cased text
+    may only rule a word out if none of them occurs.
     """
-    tests = [f"contains({lowered}, {literal(w)})" for w in words]
-    tests += [f"contains({text}, {literal(c)})" for c in lx.CASE_ALIASES]
-    return "(" + " OR ".join(tests) + ")"
+    return f"(octet_length({text}) > length({text}) AND {contains_any(text, lx.CASE_ALIASES)})"
 
 
 def prefix_sums(lengths: str) -> str:
@@ -69,42 +72,66 @@ def prefix_sums(lengths: str) -> str:
                f"flatten(transform(sequence(0, size(block_sums) - 1), b -> {fold}))")
 
 
-def match_spans(text: str, pattern: str, matches: str) -> str:
-    """``array<struct<start, end, body>>`` for ``matches``, all matches of ``pattern``.
+def cut_at_matches(text: str, pattern: str) -> str:
+    """``array<string>``: gap, match, gap, match, ..., gap; joined they give the text.
+
+    One regex pass marks the matches with a control character. Where the text holds
+    that character itself, another one without meaning to any pattern stands in.
+    """
+    marked = (f"regexp_replace(replace({text}, {literal(MARK)}, {literal(STAND_IN)}), "
+              f"{regex(pattern)}, {literal(MARK + '$0' + MARK)})")
+    return f"split({marked}, {literal(MARK)}, -1)"
+
+
+def match_spans(text: str, pattern: str) -> str:
+    """``array<struct<start, end, body>>`` of all matches, in text order.
 
-    The text between matches comes from ``split`` with the same pattern, so a match
-    starts after everything before it; no engine call returns positions directly.
+    No engine function returns positions, so they come from the lengths of the pieces.
     """
-    rows = ("zip_with(arrays_zip(starts, slice(gaps, 1, size(starts))), "
-            f"{matches}, (p, m) -> named_struct("
-            "'start', p.starts + length(p.`1`), "
-            "'end', p.starts + length(p.`1`) + length(m), 'body', m))")
-    lengths = f"zip_with(slice(gaps, 1, size({matches})), {matches}, (g, m) -> length(g) + length(m))"
-    located = let("gaps", f"split({text}, {regex(pattern)}, -1)",
-                  let("lengths", lengths, let("starts", prefix_sums("lengths"), rows)))
-    return (f"CASE WHEN size({matches}) > 0 THEN {located} ELSE "
-            "cast(array() AS array<struct<start: int, end: int, body: string>>) END")
+    row = ("named_struct('start', starts[2 * i - 1], 'end', starts[2 * i - 1] + "
+           "length(pieces[2 * i - 1]), 'body', pieces[2 * i - 1])")
+    located = let("starts", prefix_sums("transform(pieces, v -> length(v))"),
+                  f"transform(sequence(1, int(size(pieces) div 2)), i -> {row})")
+    return let("pieces", cut_at_matches(text, pattern),
+               f"CASE WHEN size(pieces) > 1 THEN {located} ELSE "
+               "cast(array() AS array<struct<start: int, end: int, body: string>>) END")
 
 
-def first_span(text: str, pattern: str) -> str:
-    """``struct<start, end>`` of the first match, null without one."""
-    p = regex(pattern)
-    start = f"length(get(split({text}, {p}, 2), 0))"
-    return (f"CASE WHEN {text} RLIKE {p} THEN named_struct('start', {start}, "
-            f"'end', {start} + length(regexp_extract({text}, {p}, 0))) END")
+def first_span(text: str, pattern: str, offset: str) -> str:
+    """``struct<start, end>`` of the first match, shifted by ``offset``."""
+    start = f"{offset} + length(pieces[0])"
+    return let("pieces", cut_at_matches(text, pattern),
+               f"CASE WHEN size(pieces) > 1 THEN named_struct('start', {start}, "
+               f"'end', {start} + length(pieces[1])) END")
+
+
+def segments(text: str, flags: dict[str, str]) -> str:
+    """``array<struct<start, body, flag...>>``: the pieces of a text that may matter.
+
+    Cuts behind characters that no pattern of the sentence-bound rules can cross and
+    keeps the pieces with a true flag; a flag is a test on the lower-cased piece
+    ``low``. The costly patterns then see a small part of the text.
+    """
+    tested = ", ".join(f"'{name}', {test}" for name, test in flags.items())
+    row = ("named_struct('start', s, 'body', p, " + tested + ")")
+    rows = f"zip_with(starts, pieces, (s, p) -> {let('low', 'lower(p)', row)})"
+    wanted = " OR ".join(f"r.{name}" for name in flags)
+    kept = ", ".join(f"'{name}', r.{name}" for name in flags)
+    restore = (f"named_struct('start', r.start, 'body', "
+               f"substring({text}, r.start + 1, length(r.body) + 1), {kept})")
+    return let("pieces", f"split({text}, {regex(lx.HARD_BREAK, ignore_case=False)}, -1)",
+               let("starts", prefix_sums("transform(pieces, p -> length(p) + 1)"),
+                   f"transform(filter({rows}, r -> {wanted}), r -> {restore})"))
 
 
 def sentences(text: str) -> str:
     """``array<struct<start, end, text>>``: stripped sentences with unstripped offsets."""
-    p = regex(lx.SENTENCE_BREAK)
-    lengths = "zip_with(gaps, breaks, (g, m) -> length(g) + coalesce(length(m), 0))"
-    rows = ("zip_with(starts, gaps, (s, g) -> named_struct("
-            f"'start', s, 'end', s + length(g), 'text', {strip('g')}))")
-    return let("gaps", f"split({text}, {p}, -1)",
-               let("breaks", f"regexp_extract_all({text}, {p}, 0)",
-                   let("lengths", lengths,
-                       let("starts", prefix_sums("lengths"),
-                           f"filter({rows}, r -> r.text <> '')"))))
+    row = ("named_struct('start', starts[2 * i], 'end', starts[2 * i] + length(pieces[2 * i]), "
+           f"'text', {strip('pieces[2 * i]')})")
+    located = (f"filter(transform(sequence(0, int((size(pieces) - 1) div 2)), i -> {row}), "
+               "r -> r.text <> '')")
+    return let("pieces", cut_at_matches(text, lx.SENTENCE_BREAK),
+               let("starts", prefix_sums("transform(pieces, v -> length(v))"), located))
 
 
 def snippet(text: str, start: str, end: str) -> str:
