@@ -27,6 +27,9 @@ HIT_TYPE = ("struct<label: int, confidence: double, decided_by: string, "
             "evidence_snippet: string, evidence_source: string, "
             "min_years: double, max_years: double>")
 
+SIGNALS = ["x_mentions", "x_title_mentions", "x_negation", "x_title_negation", "x_edu",
+           "x_management", "x_senior", "x_executive", "x_strong_title", "x_seniority"]
+
 Stage = dict[str, str]
 
 
@@ -249,10 +252,22 @@ def as_scalar(stages: list[Stage], result: str) -> str:
     return body
 
 
+def fence(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pass ``columns`` through a one-row generator.
+
+    A filter on a column derived from them would otherwise be pushed below the
+    projections and repeat the whole regex work, once per use.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def add_signals(df: DataFrame, title: str = "title",
                 description: str = "description") -> DataFrame:
     """Add the signal columns (``x_*``), the shared input of hits and features."""
-    return add_columns(df, signal_stages(title, description))
+    df = add_columns(df, signal_stages(title, description))
+    keep = [c for c in df.columns if not c.startswith("x_")]
+    return fence(df.select(*keep, "x_title", "x_desc", *SIGNALS), SIGNALS)
 
 
 def drop_signals(df: DataFrame) -> DataFrame:
@@ -278,9 +293,9 @@ def mention_stages(text: str) -> list[Stage]:
 
 def mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
     """Add ``out``: the years mentions of one text column, as an array of structs."""
-    return drop_signals(add_columns(df, mention_stages(text))
-                        .withColumn(out, F.col("x_mentions")))
+    found = add_columns(df, mention_stages(text)).withColumn(out, F.col("x_mentions"))
+    return fence(drop_signals(found), [out])
 
 
 def sentences(df: DataFrame, text: str, out: str = "sentences") -> DataFrame:
-    return df.withColumn(out, F.expr(sp.sentences(f"coalesce({text}, '')")))
+    return fence(df.withColumn(out, F.expr(sp.sentences(f"coalesce({text}, '')"))), [out])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from expband.functions import lexicon as lx
 
-BLOCK = 512
+BLOCK = 64
 MARK, STAND_IN = "\x01", "\x02"
 
 
@@ -61,15 +61,15 @@ def prefix_sums(lengths: str) -> str:
     Folds blocks of fixed size, because appending to one growing array would copy it
     at every step and cost quadratic time on very long texts.
     """
-    sums = (f"transform(sequence(0, int((size({lengths}) - 1) div {BLOCK})), "
-            f"b -> aggregate(slice({lengths}, b * {BLOCK} + 1, {BLOCK}), 0, (s, v) -> s + v))")
-    fold = (f"aggregate(slice({lengths}, b * {BLOCK} + 1, {BLOCK}), "
+    sums = (f"transform(sequence(0, int((size(sizes) - 1) div {BLOCK})), "
+            f"b -> aggregate(slice(sizes, b * {BLOCK} + 1, {BLOCK}), 0, (s, v) -> s + v))")
+    fold = (f"aggregate(slice(sizes, b * {BLOCK} + 1, {BLOCK}), "
             "named_struct('pos', aggregate(slice(block_sums, 1, b), 0, (s, v) -> s + v), "
             "'done', cast(array() AS array<int>)), "
             "(a, v) -> named_struct('pos', a.pos + v, 'done', array_append(a.done, a.pos)), "
             "a -> a.done)")
-    return let("block_sums", sums,
-               f"flatten(transform(sequence(0, size(block_sums) - 1), b -> {fold}))")
+    blocks = f"flatten(transform(sequence(0, size(block_sums) - 1), b -> {fold}))"
+    return let("sizes", lengths, let("block_sums", sums, blocks))
 
 
 def cut_at_matches(text: str, pattern: str) -> str:
