@@ -8,6 +8,8 @@ SQL functions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,11 +246,22 @@ def add_columns(df: DataFrame, stages: list[Stage]) -> DataFrame:
 
 
 def as_scalar(stages: list[Stage], result: str) -> str:
-    """The plan as one SQL expression for the column ``result``."""
-    body = result
-    for stage in reversed(stages):
-        for name, sql in reversed(stage.items()):
-            body = sp.let(name, sql, body)
+    """The plan as one SQL expression for the column ``result``.
+
+    Each stage becomes a struct bound to a name, and reads of its columns go there.
+    """
+    home: dict[str, str] = {}
+
+    def qualified(sql: str) -> str:
+        return re.sub(r"\b\w+\b", lambda m: home.get(m[0], m[0]), sql)
+    bound = []
+    for i, stage in enumerate(stages):
+        fields = ", ".join(f"'{name}', {qualified(sql)}" for name, sql in stage.items())
+        bound.append((f"stage_{i}", f"named_struct({fields})"))
+        home.update({name: f"stage_{i}.{name}" for name in stage})
+    body = qualified(result)
+    for name, value in reversed(bound):
+        body = sp.let(name, value, body)
     return body
 
 
