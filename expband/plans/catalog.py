@@ -424,7 +424,7 @@ def csv_roundtrip(spark, sf):
     raw = fx.postings(spark, sf).select(
         F.col("job_id").alias("UniqueJobAdID"), F.col("title").alias("OrigJobTitle"),
         F.col("description").alias("JobDescription"), F.lit("ignored").alias("Extra"))
-    raw.write.mode("overwrite").csv(folder, header=True, quote='"', escape='"', quoteAll=True)
+    raw.write.mode("overwrite").options(**io.WRITE_OPTIONS).csv(folder, quoteAll=True)
     return io.load_postings(spark, folder).select(
         "job_id", "title", F.md5(F.regexp_replace("description", r"\r\n?", "\n")).alias("digest"))
 
@@ -465,7 +465,7 @@ def stream_equals_batch(spark, sf):
     """Posting files scored as a stream of batches with the rule layer."""
     source, target, marks = (_folder(spark, n) for n in ("in", "out", "marks"))
     fx.postings(spark, sf).select("job_id", "title", "description").repartition(4) \
-        .write.mode("overwrite").csv(source, header=True, quote='"', escape='"', quoteAll=True)
+        .write.mode("overwrite").options(**io.WRITE_OPTIONS).csv(source, quoteAll=True)
     arriving = incremental.read_arriving(
         spark, source, "job_id string, title string, description string", 1)
     flat = rules.rule_hits(arriving).select("job_id", "hit.label", "hit.decided_by")

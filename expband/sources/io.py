@@ -16,6 +16,8 @@ PREDICTION_COLUMNS = ("job_id", "title", "label", "confidence", "decided_by",
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
                "encoding": "UTF-8", "maxCharsPerColumn": "-1"}
+WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "",
+                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 LABEL_SCHEMA = ("job_id string, label string, title string, unsure string, decided_by string, "
                 "evidence_snippet string, evidence_source string")
 
@@ -119,7 +121,7 @@ def review_queue(predictions: DataFrame) -> DataFrame:
 
 def write_predictions(df: DataFrame, path: str, only_flagged: bool = False) -> None:
     rows = prediction_rows(review_queue(df) if only_flagged else df)
-    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    rows.write.mode("overwrite").options(**WRITE_OPTIONS).csv(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
