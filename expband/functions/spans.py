@@ -126,8 +126,11 @@ def segments(text: str, flags: dict[str, str]) -> str:
 
 def sentences(text: str) -> str:
     """``array<struct<start, end, text>>``: stripped sentences with unstripped offsets."""
+    body = (f"CASE WHEN contains({text}, {literal(MARK)}) "
+            f"THEN substring({text}, starts[2 * i] + 1, length(pieces[2 * i])) "
+            "ELSE pieces[2 * i] END")
     row = ("named_struct('start', starts[2 * i], 'end', starts[2 * i] + length(pieces[2 * i]), "
-           f"'text', {strip('pieces[2 * i]')})")
+           f"'text', {strip(body)})")
     located = (f"filter(transform(sequence(0, int((size(pieces) - 1) div 2)), i -> {row}), "
                "r -> r.text <> '')")
     return let("pieces", cut_at_matches(text, lx.SENTENCE_BREAK),
