@@ -93,7 +93,7 @@ def mgmt_hits(spark, sf):
 
 def _page_titles(spark, sf) -> DataFrame:
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return fx.table(spark, sf, "pages").select("page_id", title.alias("title"))
+    return fx.texts(spark, sf, "pages", "page_id", "html").select("page_id", title.alias("title"))
 
 
 def title_signals(spark, sf):
@@ -106,7 +106,7 @@ def title_signals(spark, sf):
 
 
 def sentences(spark, sf):
-    rows = rules.sentences(fx.table(spark, sf, "documents"), "text").select(
+    rows = rules.sentences(fx.texts(spark, sf, "documents", "doc_id", "text"), "text").select(
         "doc_id", "text", F.posexplode("sentences").alias("idx", "s"))
     again = F.expr(sp.strip("substring(text, s.start + 1, s.`end` - s.start)"))
     return rows.select("doc_id", "idx", F.col("s.text").alias("sentence"),
@@ -133,7 +133,7 @@ def numeric_features(spark, sf):
 
 
 def doc_lengths(spark, sf):
-    docs = fx.table(spark, sf, "documents").withColumn("title", F.lit(""))
+    docs = fx.texts(spark, sf, "documents", "doc_id", "text").withColumn("title", F.lit(""))
     f = signals.numeric_features(docs, "title", "text")
     return f.select("doc_id", *[F.col(c).cast("bigint").alias(c)
                                 for c in ("jd_char_len", "jd_word_len", "bullet_count")])
@@ -213,7 +213,7 @@ def fold_union(spark, sf):
 # -------------------------------------------------------------- text features
 
 def word_ngrams_df(spark, sf):
-    docs = fx.table(spark, sf, "documents").select(
+    docs = fx.texts(spark, sf, "documents", "doc_id", "text").select(
         F.lit("").alias("title"), F.col("text").alias("description"))
     stats = textfeat.term_statistics(textfeat.terms(docs, []), "desc_word")
     return textfeat.vocabulary(stats, 2, textfeat.MAX_TERMS["desc_word"]).select(
@@ -250,7 +250,7 @@ def tfidf_weights(spark, sf):
 
 
 def tfidf_documents(spark, sf):
-    docs = fx.table(spark, sf, "documents").select(
+    docs = fx.texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.lit("").alias("title"), F.col("text").alias("description"))
     total = F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["w"])
     largest = F.array_max(F.transform("terms", lambda t: t["w"]))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from expband.sources import io
+
 LEADS = ("Note. ", "Requirements:\n")
 
 TEMPLATES = (
@@ -68,6 +70,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of long texts, spread over the cores."""
+    return io.spread(table(spark, sf_dir, name).select(*columns))
+
+
 def _pick(values: tuple, index) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -84,7 +91,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, job_id, title, description`` of every document."""
     d = F.col("doc_id")
     lead = F.floor(d / (len(TEMPLATES) * len(TITLES))) % 2
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id",
         F.concat(F.lit("J"), d.cast("string")).alias("job_id"),
         _pick(TITLES, _title(d)).alias("title"),

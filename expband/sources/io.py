@@ -22,6 +22,16 @@ LABEL_SCHEMA = ("job_id string, label string, title string, unsure string, decid
                 "evidence_snippet string, evidence_source string")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over the cores if the source has fewer splits than there are cores.
+
+    A few unsplittable files would otherwise leave the text work to a few tasks; an
+    input with enough splits is left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, quoted multi-line fields and doubled quotes; all strings."""
     return spark.read.options(**CSV_OPTIONS).csv(path)
