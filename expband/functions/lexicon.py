@@ -142,7 +142,7 @@ SENTENCE_BREAK = r"(?:(?<=[.!?])\s+|\n+|(?:^|\n)\s*[+\-*•])"
 # no match of a mention, negation or headcount pattern reaches past such a character,
 # save in a bracketed aside or after "yr.", "yrs." and "min."
 HARD_BREAK = r"[.!?:•*](?<!(?iu:yrs?|min)\.)(?<!\([^)]{0,41})"
-BULLET_LINE = r"\n[+\-*] |\n•"
+BULLET_LINES = ("\n+ ", "\n- ", "\n* ", "\n•")
 
 # --------------------------------------------------------------------------
 # JVM form

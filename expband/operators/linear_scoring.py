@@ -5,18 +5,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
 from expband.operators import textfeat
 
 _TOKEN = re.compile(r"\w{2,}")
-
-
-def _word_terms(text: str, stop: frozenset[str]) -> list[str]:
-    words = [w for w in _TOKEN.findall(text) if w not in stop]
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+MAX_REMEMBERED = 50_000
 
 
 def _char_terms(text: str) -> list[str]:
@@ -29,9 +25,37 @@ def _char_terms(text: str) -> list[str]:
     return out
 
 
+class WordIndex:
+    """Vocabulary of a word block: words, and pairs by first and second word.
+
+    Pairs are looked up without building their text, since most are unknown.
+    """
+
+    def __init__(self, terms: dict[str, int]) -> None:
+        self.words: dict[str, int] = {}
+        self.pairs: dict[str, dict[str, int]] = {}
+        for term, idx in terms.items():
+            first, blank, second = term.partition(" ")
+            if blank:
+                self.pairs.setdefault(first, {})[second] = idx
+            else:
+                self.words[term] = idx
+
+    def known(self, words: list[str]) -> list[int]:
+        found = [self.words[w] for w in words if w in self.words]
+        pairs = self.pairs
+        for a, b in zip(words, words[1:]):
+            after = pairs.get(a)
+            if after is not None and b in after:
+                found.append(after[b])
+        return found
+
+
 @dataclass
 class LinearScorer:
-    index: dict[str, dict[str, int]]
+    title_words: WordIndex
+    title_chars: dict[str, int]
+    desc_words: WordIndex
     idf: np.ndarray
     text_weights: np.ndarray
     numeric_weights: np.ndarray
@@ -41,6 +65,7 @@ class LinearScorer:
     offset: np.ndarray
     present: np.ndarray
     stop: frozenset[str]
+    seen_titles: dict = field(default_factory=dict)
 
     @classmethod
     def build(cls, features, ensemble) -> LinearScorer:
@@ -51,30 +76,39 @@ class LinearScorer:
             idf[idx] = value
         size = len(features.vocab)
         scales = np.array([s if s > 0 else 1.0 for s in features.scales])
-        return cls(index, idf, ensemble.coefficients[:size], ensemble.coefficients[size:],
+        return cls(WordIndex(index["title_word"]), index["title_char"],
+                   WordIndex(index["desc_word"]), idf, ensemble.coefficients[:size], ensemble.coefficients[size:],
                    scales, ensemble.intercepts, ensemble.sigmoids["slope"].ravel(),
                    ensemble.sigmoids["offset"].ravel(), ensemble.sigmoids["present"].ravel(),
                    frozenset(features.stop_words))
 
-    def _block_scores(self, block: str, terms: list[str]) -> np.ndarray | float:
-        known = self.index[block]
-        counts = Counter(known[t] for t in terms if t in known)
-        if not counts:
+    def _block_scores(self, found: list[int]) -> np.ndarray | float:
+        """Weighted sum of a block's known terms, given with repeats."""
+        if not found:
             return 0.0
+        counts = Counter(found)
         idx = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
-        tf = np.fromiter((1.0 + math.log(n) for n in counts.values()), dtype=np.float64,
-                         count=len(counts))
-        w = tf * self.idf[idx]
+        tf = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        w = (1.0 + np.log(tf)) * self.idf[idx]
         return (w @ self.text_weights[idx]) / math.sqrt(float(w @ w))
 
+    def _title_scores(self, title: str) -> np.ndarray | float:
+        """Both title blocks; titles repeat, so a bounded number is remembered."""
+        if title not in self.seen_titles:
+            if len(self.seen_titles) >= MAX_REMEMBERED:
+                self.seen_titles.clear()
+            chars = self.title_chars
+            self.seen_titles[title] = (
+                self._block_scores(self.title_words.known(_TOKEN.findall(title)))
+                + self._block_scores([chars[t] for t in _char_terms(title) if t in chars]))
+        return self.seen_titles[title]
+
     def proba(self, titles, descriptions, numerics) -> np.ndarray:
-        none: frozenset[str] = frozenset()
         rows = np.stack(list(numerics)) / self.scales
         raw = rows @ self.numeric_weights + self.intercepts
         for i, (title, text) in enumerate(zip(titles, descriptions)):
-            raw[i] += self._block_scores("title_word", _word_terms(title, none))
-            raw[i] += self._block_scores("title_char", _char_terms(title))
-            raw[i] += self._block_scores("desc_word", _word_terms(text, self.stop))
+            words = [w for w in _TOKEN.findall(text) if w not in self.stop]
+            raw[i] += self._title_scores(title) + self._block_scores(self.desc_words.known(words))
         with np.errstate(over="ignore"):
             p = np.where(self.present, 1.0 / (1.0 + np.exp(raw * self.slope + self.offset)), 0.0)
         folds = p.reshape(len(rows), -1, 4)
