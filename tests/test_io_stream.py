@@ -98,7 +98,11 @@ def test_scoring_is_narrow_and_keeps_every_row(spark, sf, model):
     rows = p.select(F.lit("").alias("job_id"), "title", "description").unionByName(
         p.limit(1).select(F.lit("").alias("job_id"), F.lit(None).cast("string").alias("title"),
                           F.lit(None).cast("string").alias("description")))
-    scored = score.score(p.select("job_id", "title", "description"), model)
+    # read without spreading: any exchange in the plan would be scoring's own
+    read = fx.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("job_id"), F.lit("CEO").alias("title"),
+        F.col("text").alias("description"))
+    scored = score.score(read, model)
     assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
     flagged = io.review_queue(scored)._jdf.queryExecution().executedPlan().toString()
     assert flagged.count("ArrowEvalPython") == 1
