@@ -6,19 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from expband.llm import line_rules, oracles, piece_codec
+from expband.llm import (chat_log, license_index, line_rules, minhash_tensor, oracles, piece_codec,
+                         simhash_leaks, substring_dedup, warc_bundles)
 
 
 def op2_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
     return piece_codec.of_documents(spark, f"{sf}/documents.parquet")
 
 
+def op3_warc_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    return warc_bundles.of_pages(spark, f"{sf}/pages.parquet")
+
+
+def op4_chat_log(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_log.of_conversations(spark, f"{sf}/conversations.parquet")
+
+
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.of_documents(spark, f"{sf}/documents.parquet")
+
+
 def op6_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules.of_documents(spark, f"{sf}/documents.parquet")
 
 
+def op7_minhash_tensor(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_tensor.of_documents(spark, f"{sf}/documents.parquet")
+
+
+def op8_license_index(spark: SparkSession, sf: str) -> DataFrame:
+    return license_index.of_documents(spark, f"{sf}/documents.parquet")
+
+
+def op9_simhash_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_leaks.of_documents(spark, f"{sf}/documents.parquet", f"{sf}/benchmark.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_piece_codec": op2_piece_codec,
-    "op6_line_rules": op6_line_rules,
-}
+    f.__name__: f for f in (
+        op2_piece_codec, op3_warc_bundles, op4_chat_log, op5_substring_dedup, op6_line_rules,
+        op7_minhash_tensor, op8_license_index, op9_simhash_leaks)}
 ORACLES: dict[str, str] = oracles.ORACLES
