@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from expband.llm import (chat_log, license_index, line_rules, minhash_tensor, oracles, piece_codec,
-                         simhash_leaks, substring_dedup, warc_bundles)
+import corpus_pipeline
+from expband.llm import (attention_lm, chat_log, license_index, line_rules, minhash_tensor, oracles, piece_codec,
+                         simhash_leaks, site_quality, substring_dedup, warc_bundles)
+
+
+def op1_site_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return site_quality.of_documents(spark, f"{sf}/documents.parquet", f"{sf}/labels.parquet")
 
 
 def op2_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,8 +47,17 @@ def op9_simhash_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_leaks.of_documents(spark, f"{sf}/documents.parquet", f"{sf}/benchmark.parquet")
 
 
+def op10_attention_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return attention_lm.of_documents(spark, f"{sf}/documents.parquet")
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_piece_codec, op3_warc_bundles, op4_chat_log, op5_substring_dedup, op6_line_rules,
-        op7_minhash_tensor, op8_license_index, op9_simhash_leaks)}
+        op1_site_quality, op2_piece_codec, op3_warc_bundles, op4_chat_log, op5_substring_dedup, op6_line_rules,
+        op7_minhash_tensor, op8_license_index, op9_simhash_leaks,
+        op10_attention_lm, pipeline)}
 ORACLES: dict[str, str] = oracles.ORACLES

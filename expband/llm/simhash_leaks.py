@@ -62,9 +62,18 @@ def _shingles(words: Column, size: int) -> Column:
         s.alias("text"), (F.length(s) - (size - 1)).alias("weight")))
 
 
-def fingerprint(words: Column) -> Column:
-    """64-bit SimHash: bit b is set if the words with bit b in their hash weigh more than the rest."""
-    hashed = F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("hash"), F.length(w).alias("weight")))
+def fenced(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column through a one-row generator, so that it is computed once and never inlined into
+    the lambdas that read it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _weighted_words(words: Column) -> Column:
+    return F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("hash"), F.length(w).alias("weight")))
+
+
+def fingerprint(hashed: Column) -> Column:
+    """64-bit SimHash of (hash, weight): bit b is set if the words with that bit outweigh the rest."""
 
     def bit(b: Column) -> Column:
         balance = F.aggregate(hashed, F.lit(0), lambda acc, w: acc + F.when(
@@ -88,22 +97,22 @@ def _block(print_: Column, block: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, limits: Radius = Radius()) -> DataFrame:
     """doc_id, item_id, first_word, n_words, distance, similarity: the best window of each leak."""
     size = limits.shingle
-    items = shared.written(
-        benchmark.filter("item_id IS NOT NULL").select("item_id", words_of(F.col("text")).alias("item_words"))
-        .filter(F.size("item_words") >= size).distinct()
-        .select("item_id", F.size("item_words").alias("item_size"),
-                _shingle_hashes(F.col("item_words"), size).alias("hashes"),
-                _shingles(F.col("item_words"), size).alias("item_shingles"),
-                fingerprint(F.col("item_words")).alias("item_print")), "items")
+    items = fenced(benchmark.filter("item_id IS NOT NULL").select("item_id", "text"), "words", words_of(F.col("text")))
+    items = fenced(items.filter(F.size("words") >= size).select("item_id", "words").distinct(),
+                   "weighted", _weighted_words(F.col("words")))
+    items = shared.written(items.select(
+        "item_id", F.size("words").alias("item_size"), _shingle_hashes(F.col("words"), size).alias("hashes"),
+        _shingles(F.col("words"), size).alias("item_shingles"),
+        fingerprint(F.col("weighted")).alias("item_print")), "items")
     few = items.count() <= BROADCAST_ITEMS
     side = F.broadcast if few else (lambda df: df)
 
     # Places of shared shingles: where windows of an item's size are laid.
     known = items.select("item_size", F.posexplode("hashes").alias("at", "hash")).distinct()
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    found = (texts.select("doc_id", words_of(F.col("text")).alias("words"))
-             .select("doc_id", F.size("words").alias("n_doc"), _shingle_hashes(F.col("words"), size).alias("hashes"))
-             .select("doc_id", "n_doc", F.posexplode("hashes").alias("place", "hash"))
+    split = fenced(texts, "words", words_of(F.col("text"))).select("doc_id", "words")
+    found = (split.select("doc_id", F.size("words").alias("n_doc"),
+                          F.posexplode(_shingle_hashes(F.col("words"), size)).alias("place", "hash"))
              .join(side(known), "hash"))
     length = F.least("item_size", "n_doc")
     first = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("n_doc") - length))
@@ -113,22 +122,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, limits: Radius = Radius()) -> D
 
     # Their fingerprints and shingles, from the documents that have one.
     touched = shared.matching(texts, laid, "doc_id", "left_semi").distinct()
-    windows = (touched.select("doc_id", words_of(F.col("text")).alias("words"))
+    windows = (fenced(touched, "words", words_of(F.col("text"))).select("doc_id", "words")
                .withColumn("n_doc", F.size("words")).join(laid, ["doc_id", "n_doc"])
-               .select("doc_id", "words", F.explode("windows").alias("w"))
-               .select("doc_id", "w.first_word", "w.n_words",
-                       F.expr("slice(words, w.first_word + 1, w.n_words)").alias("words"))
-               .select("doc_id", "first_word", "n_words", fingerprint(F.col("words")).alias("print"),
-                       _shingles(F.col("words"), size).alias("shingles")))
+               .select("doc_id", "words", F.explode("windows").alias("w")))
+    windows = fenced(windows.select("doc_id", "w.first_word", "w.n_words", "words"), "own",
+                     F.expr("slice(words, first_word + 1, n_words)")).drop("words")
+    windows = fenced(windows, "weighted", _weighted_words(F.col("own"))).select(
+        "doc_id", "first_word", "n_words", fingerprint(F.col("weighted")).alias("print"),
+        _shingles(F.col("own"), size).alias("shingles"))
     windows = shared.written(windows, "fingerprints")
 
     # Multi-index Hamming search: items under every block value near their own.
-    near = F.filter(F.sequence(F.lit(0), F.lit(2 ** BLOCK_BITS - 1)),
-                    lambda m: F.bit_count(m) <= limits.bits // BLOCKS)
+    near = F.explode(F.array(*[F.lit(m) for m in range(2 ** BLOCK_BITS)
+                               if m.bit_count() <= limits.bits // BLOCKS]))
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
     index = (items.select("item_id", "item_print", blocks)
              .select("item_id", "item_print", "block", _block(F.col("item_print"), F.col("block")).alias("own"),
-                     F.explode(near).alias("mask"))
+                     near.alias("mask"))
              .select("item_id", "item_print", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     candidates = (windows.select("doc_id", "first_word", "n_words", "print").distinct()
