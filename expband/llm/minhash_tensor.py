@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from expband.llm import blocks, shared
@@ -141,6 +141,62 @@ def confirm(docs: DataFrame, pairs: DataFrame, banding: Banding) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+#: Counters of the shingle sketch; only the order of shingles depends on them.
+SKETCH = 1 << 18
+
+
+def pairs_by_prefix(docs: DataFrame, apart: DataFrame, banding: Banding) -> DataFrame:
+    """Pairs a, b of different components that can be similar enough.
+
+    Two sets of the wanted similarity share one of their first n - ceil(percent * n / 100) + 1
+    shingles, whatever the common order of shingles is. Here rare shingles come first, by a sketch of
+    fixed size, so that what many texts share doesn't pair them. Shingles of one component only, such
+    as those of a large group of copies, are left out before the join.
+    """
+    few = apart.count() <= shared.BROADCAST_KEYS
+    texts = docs.select("doc_id", "text").join(F.broadcast(apart) if few else apart, "doc_id")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in blocks.slices(batch, "text"):
+                    values, _ = shingle_sets(blocks.Words(part.column("text"), lower=True), banding.words)
+                    total += np.bincount((values % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    sums = texts.select("text").mapInArrow(sketch, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(SKETCH, np.int64)
+    seen[sums["at"].to_numpy()] = sums["n"].to_numpy()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in blocks.slices(batch, "text"):
+                    values, at = shingle_sets(blocks.Words(part.column("text"), lower=True), banding.words)
+                    n = np.diff(at)
+                    row = np.repeat(np.arange(len(n)), n)
+                    order = np.lexsort((values, seen[(values % np.uint64(SKETCH)).astype(np.int64)], row))
+                    length = n + (-banding.percent * n // 100) + 1
+                    keep = np.arange(len(values)) - at[row] < length[row]
+                    row, values = row[keep], values[order][keep]
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(blocks.signed(values)), part.column("doc_id").take(take), part.column("comp").take(take),
+                         pa.array(n[row].astype(np.int32))], names=["shingle", "node", "comp", "n"])
+
+    kind = apart.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(prefixes, f"shingle bigint, node {kind}, comp {kind}, n int")
+    between = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    rows = shared.written(rows.join(between, "shingle", "left_semi"), "prefixes")
+    other = rows.withColumnsRenamed({"node": "node_b", "comp": "comp_b", "n": "n_b"})
+    return (rows.join(other, "shingle")
+            .filter((F.col("comp") < F.col("comp_b"))
+                    & (100 * F.least("n", "n_b") >= banding.percent * F.greatest("n", "n_b")))
+            .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     signed = shared.written(signatures(docs, banding), "signatures")
@@ -158,21 +214,13 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     links = shared.written(confirm(docs, first, banding), "confirmed")
     found = components(links, "a", "b")
 
-    # Second pass: nodes apart from the least node of a bucket, against that bucket.
-    sized = nodes.select("node", "n_shingles")
+    # Second pass: nodes in buckets of more than one component, paired by rare shingles.
     label = F.coalesce("component", "node")
-    placed = (members.join(found, "node", "left").withColumn("comp", label).drop("component"))
-    least = found.select(F.col("node").alias("least"), F.col("component").alias("least_component"))
-    apart = (placed.join(least, "least", "left")
-             .filter(F.col("comp") != F.coalesce("least_component", "least"))
-             .join(sized, "node").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"),
-                                         F.col("n_shingles").alias("n_a")))
-    apart = shared.written(apart, "apart")
-    second = (apart.join(placed.join(sized, "node"), "key")
-              .filter((F.col("comp_a") != F.col("comp")) & (F.col("node") != F.col("least"))
-                      & (100 * F.least("n_a", "n_shingles") >= banding.percent * F.greatest("n_a", "n_shingles")))
-              .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-              .join(first, ["a", "b"], "left_anti"))
+    placed = members.join(found, "node", "left").withColumn("comp", label).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    apart = shared.written(placed.join(mixed, "key", "left_semi").select(F.col("node").alias("doc_id"), "comp").distinct(),
+                           "apart")
+    second = pairs_by_prefix(docs, apart, banding).join(first, ["a", "b"], "left_anti")
     second = shared.written(second, "pairs")
     more = shared.written(confirm(docs, second, banding), "confirmed")
     if not more.isEmpty():
@@ -188,3 +236,18 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
 
 def of_documents(spark: SparkSession, path: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(path).select("doc_id", "text"))
+
+
+def first_of_each_id(docs: DataFrame) -> DataFrame:
+    """One row per doc_id, the one with the least text; rows without an id all stay.
+
+    Ids are counted on their own; only rows with a repeated id are moved.
+    """
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeated = shared.written(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = (shared.matching(docs, repeated, "doc_id", "left_semi").withColumn("_rank", rank)
+            .filter("_rank = 1").drop("_rank"))
+    return shared.matching(docs, repeated, "doc_id", "left_anti").unionByName(once)
