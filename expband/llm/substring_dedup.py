@@ -127,7 +127,8 @@ def level_rows(texts: DataFrame, length: int, before: int | None, window: int) -
              pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), members)],
             names=["key", "mark", "n", "members"])
 
-    columns = [*KEYS, "text"] + ([] if before is None else ["places"])
+    # The same columns at all levels, so that all read one exchange of the texts.
+    columns = [*KEYS, "text", "copies"] + ([] if before is None else ["places"])
     return texts.select(*columns).mapInArrow(
         run, f"key bigint, mark int, n bigint, members array<struct<{KEYS[0]}: bigint, {KEYS[1]}: int, place: int>>")
 
