@@ -3,11 +3,12 @@
 Text is lower-cased (A-Z) and cut into words; each word gives subword ids, each text one end id. The
 model gives the next id's class from the ids before it, and the id from its class:
 
-    P(id | before) = softmax(log bigram(class | last id) + attention(before) W)[class] * P(id | class)
+    P(id | before) = softmax(log bigram(class | last id) + attention(before) W)[class]
+                     * P(id | class, last id)
 
 Frequent ids are classes of their own; the others are grouped by their neighbours inside frequent
-words. Bigrams and ids within classes are counted over every training text. The attention layer
-learns what the bigrams miss: every task runs Adam over windows of its own training texts, one run
+words. Both bigrams are counted over every training text, for the ids that have a symbol of their
+own; other ids share one symbol per class and follow their frequency there. The attention layer learns what the bigrams miss: every task runs Adam over windows of its own training texts, one run
 of words in ``train_every`` and one at least of each text, and the tasks' weights are averaged.
 
 Texts are scored in windows of ``window`` ids that overlap, so that ids are predicted from at least
@@ -66,8 +67,10 @@ class Tables:
     end: int
     symbol: np.ndarray                              #: by id
     group: np.ndarray                               #: class by id
+    column: np.ndarray                              #: by id: its symbol, or that of its class's other ids
     bigram: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))   #: log P(class | symbol)
-    inside: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))   #: log P(id | class)
+    pair: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))     #: log P(column | class, symbol)
+    alone: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))    #: log P(id | column)
     theta: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
 
@@ -150,7 +153,8 @@ def start_tables(words: list[str], model_file: str, model: Model) -> Tables:
             if (nearest == k).any():
                 centres[k] = np.average(share[nearest == k], axis=0, weights=mass[rest][nearest == k] + 1e-9)
     group[rest] = len(single) + nearest
-    return Tables(model, proto, hashes[order], flat, at, end, symbol, group, theta=_begin(model))
+    column = np.where(symbol > 0, symbol, model.symbols + group)
+    return Tables(model, proto, hashes[order], flat, at, end, symbol, group, column, theta=_begin(model))
 
 
 class Subwords:
@@ -190,38 +194,39 @@ class Subwords:
         return out, offsets
 
 
-def count(rows: DataFrame, tables: Tables) -> dict[str, np.ndarray]:
-    """Over all training texts: frequent words, tokens, ids, and pairs of symbol and class."""
+def count(rows: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over all training texts: frequent words, ends and tokens; ids; pairs of symbol and column."""
     m, n_ids, k = tables.model, len(tables.symbol), len(tables.words)
-    sizes = {"word": k + 2, "id": n_ids, "pair": m.symbols * m.classes}
+    columns = m.symbols + m.classes
+    sizes = [k + 2, n_ids, m.symbols * columns]
+    borders = np.concatenate(([0], np.cumsum(sizes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(tables)
-        total = {name: np.zeros(n, np.int64) for name, n in sizes.items()}
+        words_n, ids_n, pairs_n = (np.zeros(n, np.int64) for n in sizes)
         for part, words, hashes in _parts(batches):
             if k:
                 at = np.minimum(np.searchsorted(tables.words, hashes), k - 1)
-                total["word"][:k] += np.bincount(at[tables.words[at] == hashes], minlength=k)
-            total["word"][k] += part.num_rows                     # ends
-            total["word"][k + 1] += len(words) + part.num_rows    # tokens
+                words_n[:k] += np.bincount(at[tables.words[at] == hashes], minlength=k)
+            words_n[k] += part.num_rows                     # ends
+            words_n[k + 1] += len(words) + part.num_rows    # tokens
             ids, offsets = subwords.of(words, hashes)
-            total["id"] += np.bincount(ids, minlength=n_ids)
+            ids_n += np.bincount(ids, minlength=n_ids)
             last = np.concatenate(([0], tables.symbol[ids[:-1]]))
             last[offsets[:-1]] = m.symbols - 1
-            total["pair"] += np.bincount(last * m.classes + tables.group[ids], minlength=sizes["pair"])
-        for name, sums in total.items():
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(sums[at])],
-                                             names=["kind", "at", "n"])
-
-    sums = (rows.filter("train").select("text").mapInArrow(run, "kind string, at bigint, n bigint")
-            .groupBy("kind", "at").agg(F.sum("n").alias("n")))
-    out = {name: np.zeros(n, np.int64) for name, n in sizes.items()}
-    table = sums.toArrow()   # bounded by the model's parameters
-    kind, at, n = (table[c].to_numpy() for c in ("kind", "at", "n"))
-    for name in sizes:
-        out[name][at[kind == name]] = n[kind == name]
-    return out
+            pairs_n += np.bincount(last * columns + tables.column[ids], minlength=sizes[2])
+        total = np.concatenate((words_n, ids_n, pairs_n))
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000]), pa.array(total[at[i:i + 100_000]])],
+                                             names=["at", "n"])
+
+    sums = (rows.filter("train").select("text").mapInArrow(run, "at bigint, n bigint")
+            .groupBy("at").agg(F.sum("n").alias("n"))).toArrow()   # bounded by the model's parameters
+    total = np.zeros(borders[-1], np.int64)
+    total[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    words_n, ids_n, pairs_n = np.split(total, borders[1:-1])
+    return words_n, ids_n, pairs_n.reshape(m.symbols, columns)
 
 
 def _shapes(m: Model) -> list[tuple[int, ...]]:
@@ -361,7 +366,10 @@ def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
     row = np.repeat(np.arange(len(n)), windows)
     number = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
     first = number * m.stride
-    place, score = np.arange(m.window), tables.inside[ids].astype(np.float64)
+    place, score = np.arange(m.window), tables.alone[ids].astype(np.float64)
+    before = np.concatenate(([0], symbols[:-1]))
+    before[offsets[:-1]] = m.symbols - 1
+    score += tables.pair[before, tables.column[ids]]
     for i in range(0, len(row), 2048):
         r, f = row[i:i + 2048], first[i:i + 2048]
         inner = f[:, None] + place                       # place in the text of the id to predict
@@ -384,15 +392,24 @@ def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
 def fit(rows: DataFrame, model_file: str, model: Model) -> tuple[Tables, np.ndarray]:
     """The trained tables, and the counts of the frequent words, ends and tokens."""
     tables = start_tables(frequent_words(rows, model), model_file, model)
-    counts = count(rows, tables)
-    pair = counts["pair"].reshape(model.symbols, model.classes)
-    prior = (pair.sum(0) + 0.5) / (pair.sum() + 0.5 * model.classes)
-    tables.bigram = np.log((pair + 20.0 * prior) / (pair.sum(1, keepdims=True) + 20.0)).astype(np.float32)
-    held = np.bincount(tables.group, weights=counts["id"], minlength=model.classes)
-    members = np.bincount(tables.group, minlength=model.classes)
-    tables.inside = np.log((counts["id"] + 0.1) / (held + 0.1 * members)[tables.group]).astype(np.float32)
+    words_n, ids_n, pairs_n = count(rows, tables)
+    owner = np.zeros(pairs_n.shape[1], np.int64)            # the class of a column
+    owner[tables.column] = tables.group
+    owner[model.symbols:] = np.arange(model.classes)
+    by_class = np.zeros((model.symbols, model.classes))
+    for c in range(model.classes):
+        by_class[:, c] = pairs_n[:, owner == c].sum(1)
+    prior = (by_class.sum(0) + 0.5) / (by_class.sum() + 0.5 * model.classes)
+    tables.bigram = np.log((by_class + 20.0 * prior) / (by_class.sum(1, keepdims=True) + 20.0)).astype(np.float32)
+    used = np.bincount(tables.column, minlength=len(owner)) > 0
+    seen = np.where(used, pairs_n.sum(0) + 0.1, 0.0)
+    share = seen / np.maximum(np.bincount(owner, weights=seen, minlength=model.classes), 1e-9)[owner]
+    pair = (pairs_n + 5.0 * share) / (by_class[:, owner] + 5.0)
+    tables.pair = np.log(np.maximum(pair, 1e-30)).astype(np.float32)
+    held = np.bincount(tables.column, weights=ids_n + 0.1, minlength=len(owner))
+    tables.alone = np.log((ids_n + 0.1) / held[tables.column]).astype(np.float32)
     train(rows, tables)
-    return tables, counts["word"]
+    return tables, words_n
 
 
 def rare_words(rows: DataFrame, listed: np.ndarray) -> DataFrame:

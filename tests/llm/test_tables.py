@@ -252,8 +252,9 @@ def test_windows_score_each_id_once_and_sum_to_one():
     rng = np.random.default_rng(1)
     group = np.arange(10) % 8
     tables = attention_lm.Tables(m, b"", np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64), 9,
-                                 np.arange(10), group, np.log(np.full((16, 8), 1 / 8)).astype(np.float32),
-                                 np.log(np.where(np.isin(group, (0, 1)), 0.5, 1.0)).astype(np.float32),
+                                 np.arange(10), group, np.arange(10), np.log(np.full((16, 8), 1 / 8)).astype(np.float32),
+                                 np.log(np.tile(np.where(np.isin(np.arange(24) % 8, (0, 1)), 0.5, 1.0), (16, 1))).astype(np.float32),
+                                 np.zeros(10, np.float32),
                                  attention_lm._begin(m) + rng.normal(0, 0.2, len(attention_lm._begin(m))).astype(np.float32))
     prefix = rng.integers(0, 10, 14)
     for n in (0, 3, 7, 14):
@@ -266,7 +267,7 @@ def test_windows_score_each_id_once_and_sum_to_one():
 def test_gradient():
     m = attention_lm.Model(symbols=6, classes=4, groups=1, window=5, stride=3, width=3)
     rng = np.random.default_rng(2)
-    tables = attention_lm.Tables(m, b"", None, None, None, 0, None, None, rng.normal(0, 1, (6, 4)).astype(np.float64))
+    tables = attention_lm.Tables(m, b"", None, None, None, 0, None, None, None, rng.normal(0, 1, (6, 4)).astype(np.float64))
     theta = rng.normal(0, 0.5, len(attention_lm._begin(m)))
     symbols, targets = rng.integers(0, 6, (3, 5)), rng.integers(0, 4, (3, 5))
     mask = rng.random((3, 5)) < 0.8
