@@ -150,8 +150,9 @@ def pairs_by_prefix(docs: DataFrame, apart: DataFrame, banding: Banding) -> Data
 
     Two sets of the wanted similarity share one of their first n - ceil(percent * n / 100) + 1
     shingles, whatever the common order of shingles is. Here rare shingles come first, by a sketch of
-    fixed size, so that what many texts share doesn't pair them. Shingles of one component only, such
-    as those of a large group of copies, are left out before the join.
+    fixed size, so that what many texts share doesn't pair them. Where the first shared shingle stands
+    at places p and q, no more than the shorter of the rests can be shared; that must be enough too.
+    Shingles of one component only, such as those of a large group of copies, are left out first.
     """
     few = apart.count() <= shared.BROADCAST_KEYS
     texts = docs.select("doc_id", "text").join(F.broadcast(apart) if few else apart, "doc_id")
@@ -179,21 +180,22 @@ def pairs_by_prefix(docs: DataFrame, apart: DataFrame, banding: Banding) -> Data
                     row = np.repeat(np.arange(len(n)), n)
                     order = np.lexsort((values, seen[(values % np.uint64(SKETCH)).astype(np.int64)], row))
                     length = n + (-banding.percent * n // 100) + 1
-                    keep = np.arange(len(values)) - at[row] < length[row]
-                    row, values = row[keep], values[order][keep]
+                    place = np.arange(len(values)) - at[row]
+                    keep = place < length[row]
+                    row, values, rest = row[keep], values[order][keep], (n[row] - place)[keep]
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(blocks.signed(values)), part.column("doc_id").take(take), part.column("comp").take(take),
-                         pa.array(n[row].astype(np.int32))], names=["shingle", "node", "comp", "n"])
+                         pa.array(n[row].astype(np.int32)), pa.array(rest.astype(np.int32))],
+                        names=["shingle", "node", "comp", "n", "rest"])
 
     kind = apart.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(prefixes, f"shingle bigint, node {kind}, comp {kind}, n int")
+    rows = texts.mapInArrow(prefixes, f"shingle bigint, node {kind}, comp {kind}, n int, rest int")
     between = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     rows = shared.written(rows.join(between, "shingle", "left_semi"), "prefixes")
-    other = rows.withColumnsRenamed({"node": "node_b", "comp": "comp_b", "n": "n_b"})
-    return (rows.join(other, "shingle")
-            .filter((F.col("comp") < F.col("comp_b"))
-                    & (100 * F.least("n", "n_b") >= banding.percent * F.greatest("n", "n_b")))
+    other = rows.withColumnsRenamed({c: f"{c}_b" for c in ("node", "comp", "n", "rest")})
+    enough = (100 + banding.percent) * F.least("rest", "rest_b") >= banding.percent * (F.col("n") + F.col("n_b"))
+    return (rows.join(other, "shingle").filter((F.col("comp") < F.col("comp_b")) & enough)
             .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct())
 
 
