@@ -8,8 +8,9 @@ model gives the next id's class from the ids before it, and the id from its clas
 
 Frequent ids are classes of their own; the others are grouped by their neighbours inside frequent
 words. Both bigrams are counted over every training text, for the ids that have a symbol of their
-own; other ids share one symbol per class and follow their frequency there. The attention layer learns what the bigrams miss: every task runs Adam over windows of its own training texts, one run
-of words in ``train_every`` and one at least of each text, and the tasks' weights are averaged.
+own; other ids share one symbol per class and follow their frequency there. The attention layer
+learns what the bigrams miss: every task runs Adam over windows of its own training texts, one run of
+words in ``train_every`` and one at least of each text, and the tasks' weights are averaged.
 
 Texts are scored in windows of ``window`` ids that overlap, so that ids are predicted from at least
 ``window - stride`` ids before them; each id is scored once, and all windows of a slice are one
@@ -51,10 +52,14 @@ class Model:
     rounds: int = 2
     batch: int = 256
     rate: float = 0.01
-    frequent_words: int = 65_536
+    frequent_words: int = 200_000
     fold: int = 10              #: crc32(doc_id) modulo fold is 0: held out
 
 
+#: Words whose ids a task remembers besides the frequent ones.
+REMEMBERED = 200_000
+
+
 @dataclass
 class Tables:
     """Bounded by the model's parameters and the vocabulary; sent to every task."""
@@ -81,12 +86,13 @@ def prepared(docs: DataFrame, model: Model) -> DataFrame:
                        (F.crc32(name) % model.fold != 0).alias("train"))
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, blocks.Words, np.ndarray]]:
+def _parts(batches: Iterator[pa.RecordBatch],
+           hashed: bool = True) -> Iterator[tuple[pa.RecordBatch, blocks.Words, np.ndarray | None]]:
     with np.errstate(over="ignore"):
         for batch in batches:
             for part in blocks.slices(batch, "text", 1 << 21):
                 words = blocks.Words(part.column("text"), lower=True)
-                yield part, words, words.hashes()
+                yield part, words, words.hashes() if hashed else None
 
 
 def frequent_words(rows: DataFrame, model: Model) -> list[str]:
@@ -163,25 +169,34 @@ class Subwords:
     def __init__(self, tables: Tables):
         import sentencepiece
 
-        self.t = tables
+        self.t, self.known = tables, {}
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=tables.proto)
 
+    def _others(self, keys: list[int], words: blocks.Words, first: np.ndarray) -> list[bytes]:
+        """Ids of words that are not listed; a bounded number of them is remembered."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [k for k, key in enumerate(keys) if key not in self.known]
+        raw, at = words.raw, first[new]
+        texts = [raw[a:b].tobytes().decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
+        for k, ids in zip(new, self.pieces.encode(texts, num_threads=1) if texts else []):
+            self.known[keys[k]] = np.array(ids, "<i4").tobytes()
+        return [self.known[key] for key in keys]
+
     def of(self, words: blocks.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each row's closed by the end id, and the rows + 1 offsets."""
         t = self.t
         kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         listed = np.minimum(np.searchsorted(t.words, kinds), max(len(t.words) - 1, 0))
         hit = t.words[listed] == kinds if len(t.words) else np.zeros(len(kinds), dtype=bool)
-        raw, start, end = words.raw.tobytes(), words.start[first], words.end[first]
-        other = self.pieces.encode([raw[a:b].decode() for a, b in zip(start[~hit].tolist(), end[~hit].tolist())],
-                                   num_threads=1)
+        other = self._others(kinds[~hit].tolist(), words, first[~hit])
         size = np.zeros(len(kinds), np.int64)
         size[hit] = np.diff(t.word_at)[listed[hit]] if len(t.words) else 0
-        size[~hit] = np.fromiter(map(len, other), np.int64, len(other))
+        size[~hit] = np.fromiter(map(len, other), np.int64, len(other)) // 4
         at = np.zeros(len(kinds), np.int64)
         at[hit] = t.word_at[listed[hit]] if len(t.words) else 0
         at[~hit] = len(t.word_ids) + np.concatenate(([0], np.cumsum(size[~hit])))[:-1] if len(other) else 0
-        store = np.concatenate((t.word_ids, np.fromiter((i for x in other for i in x), np.int64, int(size[~hit].sum()))))
+        store = np.concatenate((t.word_ids, np.frombuffer(b"".join(other), "<i4")))
         length = size[back]
         ends = np.concatenate(([0], np.cumsum(length)))
         flat = store[np.repeat(at[back] - ends[:-1], length) + np.arange(ends[-1])]
@@ -254,14 +269,19 @@ def _attend(symbols: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray,
     """Hidden states of a batch of windows, each place seeing itself and those before it."""
     embed, place, qkv, _ = weights
     x = embed[symbols] + place
-    d = x.shape[2]
-    q, k, v = np.split((x.reshape(-1, d) @ qkv).reshape(*x.shape[:2], 3 * d), 3, axis=2)
-    s = q @ k.transpose(0, 2, 1) * np.float32(d ** -0.5)
-    s += np.triu(np.full(s.shape[1:], -1e9, np.float32), 1)
-    s -= s.max(2, keepdims=True)
+    n, t, d = x.shape
+    flat = x.reshape(-1, d)
+    q = (flat @ (qkv[:, :d] * np.float32(d ** -0.5))).reshape(n, t, d)
+    k = (flat @ qkv[:, d:2 * d]).reshape(n, t, d)
+    v = np.ones((n, t, d + 1), x.dtype)                 # the last column sums the weights
+    v[:, :, :d] = (flat @ qkv[:, 2 * d:]).reshape(n, t, d)
+    s = q @ k.transpose(0, 2, 1)
+    # Later places get no weight; the others are bounded, so that no maximum is needed.
+    np.minimum(s, np.where(np.tri(t, dtype=bool), 60.0, -1e9).astype(x.dtype), out=s)
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    return x + s @ v, x, q, k, v, s
+    y = s @ v
+    total = y[:, :, d:]
+    return x + y[:, :, :d] / total, x, q, k, v[:, :, :d], s, total
 
 
 def _step(symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray, tables: Tables,
@@ -270,11 +290,12 @@ def _step(symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray, tables: Ta
     m = tables.model
     weights = _split(theta, m)
     _, _, qkv, out = weights
-    h, x, q, k, v, a = _attend(symbols, weights)
+    h, x, q, k, v, s, total = _attend(symbols, weights)
+    a = s / total
     d, scale = m.width, np.float32(m.width ** -0.5)
-    logit = h.reshape(-1, d) @ out + tables.bigram[symbols.ravel()]
-    logit -= logit.max(1, keepdims=True)
+    logit = np.clip(h.reshape(-1, d) @ out, -60, 60)
     np.exp(logit, out=logit)
+    logit *= np.exp(tables.bigram)[symbols.ravel()]
     logit /= logit.sum(1, keepdims=True)
     logit[np.arange(len(logit)), targets.ravel()] -= 1
     logit *= (mask.ravel() / max(mask.sum(), 1))[:, None].astype(np.float32)
@@ -282,17 +303,17 @@ def _step(symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray, tables: Ta
     grad[3] = h.reshape(-1, d).T @ logit
     dh = (logit @ out.T).reshape(h.shape)
     da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * scale
-    dqkv = np.concatenate((ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh), axis=2)
+    ds = a * (da - (da * a).sum(2, keepdims=True))
+    dqkv = np.concatenate((ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh), axis=2)
     grad[2] = x.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
     dx = dh + (dqkv.reshape(-1, 3 * d) @ qkv.T).reshape(x.shape)
     grad[1] = dx.sum(0)
-    np.add.at(grad[0], symbols.ravel(), dx.reshape(-1, d))
+    for j in range(d):
+        grad[0][:, j] = np.bincount(symbols.ravel(), weights=dx[:, :, j].ravel(), minlength=m.symbols)
     return np.concatenate([g.ravel() for g in grad])
 
 
-def _training_windows(part: pa.RecordBatch, words: blocks.Words, hashes: np.ndarray,
-                      subwords: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _training_windows(part: pa.RecordBatch, words: blocks.Words, subwords: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, target classes and mask of the chosen runs of words."""
     t, m = subwords.t, subwords.t.model
     runs = np.maximum(1, -(-words.counts // m.run_words))
@@ -306,10 +327,8 @@ def _training_windows(part: pa.RecordBatch, words: blocks.Words, hashes: np.ndar
     # The chosen runs as rows of their own.
     size = last - first
     picked = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    some = object.__new__(blocks.Words)
-    some.raw, some.start, some.end = words.raw, words.start[picked], words.end[picked]
-    some.first = np.concatenate(([0], np.cumsum(size)))
-    ids, offsets = subwords.of(some, hashes[picked])
+    some = words.some(picked, np.concatenate(([0], np.cumsum(size))))
+    ids, offsets = subwords.of(some, some.hashes())
     ends_text = last == words.first[row + 1]
     length = np.diff(offsets) - ~ends_text          # only a text's last run has its end
     place = np.arange(m.window)
@@ -333,8 +352,8 @@ def train(rows: DataFrame, tables: Tables) -> np.ndarray:
             subwords, theta = Subwords(now), now.theta.copy()
             mean, square, step, seen = np.zeros_like(theta), np.zeros_like(theta), 0, 0
             rate = m.rate / (1 + 2 * turn)
-            for part, words, hashes in _parts(batches):
-                symbols, targets, mask = _training_windows(part, words, hashes, subwords)
+            for part, words, _ in _parts(batches, hashed=False):
+                symbols, targets, mask = _training_windows(part, words, subwords)
                 order = np.random.default_rng(turn).permutation(len(symbols))
                 for i in range(0, len(order), m.batch):
                     some = order[i:i + m.batch]
@@ -360,7 +379,7 @@ def train(rows: DataFrame, tables: Tables) -> np.ndarray:
 def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
     """log10 probability of each row's ids: overlapping windows, each id scored once."""
     m, n = tables.model, np.diff(offsets)
-    weights = _split(tables.theta, m)
+    weights, chance = _split(tables.theta, m), np.exp(tables.bigram)
     symbols, groups = tables.symbol[ids], tables.group[ids]
     windows = 1 + np.maximum(0, -(-(n - m.window) // m.stride))
     row = np.repeat(np.arange(len(n)), windows)
@@ -378,14 +397,12 @@ def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
         last[inner == 0] = m.symbols - 1
         wanted = (inner < n[r][:, None]) & ((f == 0)[:, None] | (place >= m.window - m.stride))
         h = _attend(last, weights)[0][wanted]
+        there, before_it = at[wanted], last[wanted]
         logit = h @ weights[3]
-        logit += tables.bigram[last[wanted]]
-        there = at[wanted]
-        hit = logit[np.arange(len(logit)), groups[there]]
-        top = logit.max(1)
-        logit -= top[:, None]
+        np.clip(logit, -60, 60, out=logit)
+        hit = logit[np.arange(len(logit)), groups[there]] + tables.bigram[before_it, groups[there]]
         np.exp(logit, out=logit)
-        score[there] += hit - top - np.log(logit.sum(1))
+        score[there] += hit - np.log(np.einsum("nc,nc->n", logit, chance[before_it]))
     return np.add.reduceat(score, offsets[:-1]) / np.log(10) if len(n) else np.zeros(0)
 
 
