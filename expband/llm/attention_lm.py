@@ -56,8 +56,10 @@ class Model:
     fold: int = 10              #: crc32(doc_id) modulo fold is 0: held out
 
 
-#: Words whose ids a task remembers besides the frequent ones.
-REMEMBERED = 200_000
+#: Words whose ids a Python worker remembers besides the frequent ones.
+REMEMBERED = 300_000
+#: Windows scored at a time; their arrays fit a core's cache.
+BATCH_WINDOWS = 512
 
 
 @dataclass
@@ -163,13 +165,20 @@ def start_tables(words: list[str], model_file: str, model: Model) -> Tables:
     return Tables(model, proto, hashes[order], flat, at, end, symbol, group, column, theta=_begin(model))
 
 
+_MEMORY: dict[int, bytes] = {}   # ids by word hash; kept from task to task, as they depend on the word alone
+_MEMORY_OF: list[int] = []
+
+
 class Subwords:
     """Turns the words of a slice into one sequence of ids; made once per task."""
 
     def __init__(self, tables: Tables):
         import sentencepiece
 
-        self.t, self.known = tables, {}
+        self.t, self.known = tables, _MEMORY
+        if _MEMORY_OF != [hash(tables.proto)]:
+            _MEMORY.clear()
+            _MEMORY_OF[:] = [hash(tables.proto)]
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=tables.proto)
 
     def _others(self, keys: list[int], words: blocks.Words, first: np.ndarray) -> list[bytes]:
@@ -183,8 +192,9 @@ class Subwords:
             self.known[keys[k]] = np.array(ids, "<i4").tobytes()
         return [self.known[key] for key in keys]
 
-    def of(self, words: blocks.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All rows' ids, each row's closed by the end id, and the rows + 1 offsets."""
+    def of(self, words: blocks.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All rows' ids, each row's closed by the end id, the rows + 1 offsets, and each word's place
+        in the list of frequent words, or -1."""
         t = self.t
         kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         listed = np.minimum(np.searchsorted(t.words, kinds), max(len(t.words) - 1, 0))
@@ -206,7 +216,7 @@ class Subwords:
         inner = np.ones(len(out), dtype=bool)
         inner[offsets[1:] - 1] = False
         out[inner] = flat
-        return out, offsets
+        return out, offsets, np.where(hit, listed, -1)[back]
 
 
 def count(rows: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,12 +230,10 @@ def count(rows: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.n
         subwords = Subwords(tables)
         words_n, ids_n, pairs_n = (np.zeros(n, np.int64) for n in sizes)
         for part, words, hashes in _parts(batches):
-            if k:
-                at = np.minimum(np.searchsorted(tables.words, hashes), k - 1)
-                words_n[:k] += np.bincount(at[tables.words[at] == hashes], minlength=k)
+            ids, offsets, listed = subwords.of(words, hashes)
+            words_n[:k] += np.bincount(listed[listed >= 0], minlength=k)[:k]
             words_n[k] += part.num_rows                     # ends
             words_n[k + 1] += len(words) + part.num_rows    # tokens
-            ids, offsets = subwords.of(words, hashes)
             ids_n += np.bincount(ids, minlength=n_ids)
             last = np.concatenate(([0], tables.symbol[ids[:-1]]))
             last[offsets[:-1]] = m.symbols - 1
@@ -328,7 +336,7 @@ def _training_windows(part: pa.RecordBatch, words: blocks.Words, subwords: Subwo
     size = last - first
     picked = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
     some = words.some(picked, np.concatenate(([0], np.cumsum(size))))
-    ids, offsets = subwords.of(some, some.hashes())
+    ids, offsets, _ = subwords.of(some, some.hashes())
     ends_text = last == words.first[row + 1]
     length = np.diff(offsets) - ~ends_text          # only a text's last run has its end
     place = np.arange(m.window)
@@ -389,8 +397,8 @@ def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
     before = np.concatenate(([0], symbols[:-1]))
     before[offsets[:-1]] = m.symbols - 1
     score += tables.pair[before, tables.column[ids]]
-    for i in range(0, len(row), 2048):
-        r, f = row[i:i + 2048], first[i:i + 2048]
+    for i in range(0, len(row), BATCH_WINDOWS):
+        r, f = row[i:i + BATCH_WINDOWS], first[i:i + BATCH_WINDOWS]
         inner = f[:, None] + place                       # place in the text of the id to predict
         at = np.minimum(offsets[r][:, None] + inner, len(ids) - 1)
         last = symbols[np.maximum(at - 1, 0)]
@@ -468,18 +476,15 @@ def score(docs: DataFrame, model_file: str, model: Model = Model()) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(tables)
         for part, words, hashes in _parts(batches):
-            known, logs = np.zeros(len(hashes)), np.zeros(len(hashes))
-            if k:
-                at = np.minimum(np.searchsorted(tables.words, hashes), k - 1)
-                hit = tables.words[at] == hashes
-                known, logs = np.where(hit, known_words[at], 0), np.where(hit, log_words[at], 0.0)
+            ids, offsets, listed = subwords.of(words, hashes)
+            known, logs = np.append(known_words, 0.0)[listed], np.append(log_words, 0.0)[listed]
             rows_n = part.num_rows
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_mark"), part.column("train"),
                  pa.array(words.counts.astype(np.int64) + 1),
                  pa.array(np.bincount(words.row, weights=known, minlength=rows_n).astype(np.int64) + end_known),
                  pa.array(np.bincount(words.row, weights=logs, minlength=rows_n) + end_log),
-                 pa.array(_score(*subwords.of(words, hashes), tables))],
+                 pa.array(_score(ids, offsets, tables))],
                 names=["doc_id", "text_mark", "train", "n_tokens", "known", "logs", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
