@@ -110,18 +110,26 @@ def segments(text: str, flags: dict[str, str]) -> str:
 
     Cuts behind characters that no pattern of the sentence-bound rules can cross and
     keeps the pieces with a true flag; a flag is a test on the lower-cased piece
-    ``low``. The costly patterns then see a small part of the text.
+    ``low``. The costly patterns then see a small part of the text. A test that fails
+    on the whole text can't hold on a piece: it is not tried on any, and a text that
+    fails all of them is not cut at all.
     """
-    tested = ", ".join(f"'{name}', {test}" for name, test in flags.items())
+    whole = let("low", f"lower({text})", "named_struct(" + ", ".join(
+        f"'{name}', {test}" for name, test in flags.items()) + ")")
+    tested = ", ".join(f"'{name}', whole.{name} AND ({test})" for name, test in flags.items())
     row = ("named_struct('start', s, 'body', p, " + tested + ")")
     rows = f"zip_with(starts, pieces, (s, p) -> {let('low', 'lower(p)', row)})"
     wanted = " OR ".join(f"r.{name}" for name in flags)
     kept = ", ".join(f"'{name}', r.{name}" for name in flags)
     restore = (f"named_struct('start', r.start, 'body', "
                f"substring({text}, r.start + 1, length(r.body) + 1), {kept})")
-    return let("pieces", f"split({text}, {regex(lx.HARD_BREAK, ignore_case=False)}, -1)",
-               let("starts", prefix_sums("transform(pieces, p -> length(p) + 1)"),
-                   f"transform(filter({rows}, r -> {wanted}), r -> {restore})"))
+    found = let("pieces", f"split({text}, {regex(lx.HARD_BREAK, ignore_case=False)}, -1)",
+                let("starts", prefix_sums("transform(pieces, p -> length(p) + 1)"),
+                    f"transform(filter({rows}, r -> {wanted}), r -> {restore})"))
+    some = " OR ".join(f"whole.{name}" for name in flags)
+    none = ("cast(array() AS array<struct<start: int, body: string, "
+            + ", ".join(f"{name}: boolean" for name in flags) + ">>)")
+    return let("whole", whole, f"CASE WHEN {some} THEN {found} ELSE {none} END")
 
 
 def sentences(text: str) -> str:

@@ -43,7 +43,11 @@ def combine(df: DataFrame, threshold: Column | float) -> DataFrame:
     """
     if not isinstance(threshold, Column):
         threshold = F.lit(float(threshold))
-    df = top2(df)
+    return _decided(top2(df), threshold)
+
+
+def _decided(df: DataFrame, threshold: Column) -> DataFrame:
+    """The combiner on rows that have ``model_label, model_conf, margin``."""
     hit, model_label, model_conf = F.col("hit"), F.col("model_label"), F.col("model_conf")
     no_rule = hit.isNull()
     strong = F.coalesce(hit["confidence"] >= RULE_HIGH_CONFIDENCE, F.lit(False))
@@ -83,6 +87,10 @@ def combine(df: DataFrame, threshold: Column | float) -> DataFrame:
 
 
 def sweep(df: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """The combiner at every threshold of a small grid: one row per row and threshold."""
+    """The combiner at every threshold of a small grid: one row per row and threshold.
+
+    Probabilities are ranked once, and they and the description stay behind.
+    """
     grid = F.array(*[F.lit(float(t)) for t in thresholds])
-    return combine(df.withColumn("threshold", F.explode(grid)), F.col("threshold"))
+    narrow = top2(df).drop("proba", "description")
+    return _decided(narrow.withColumn("threshold", F.explode(grid)), F.col("threshold"))

@@ -40,7 +40,10 @@ def macro_f1(df: DataFrame, by: list[str], truth: str = "truth", pred: str = "la
 
 
 def summary(df: DataFrame, by: tuple[str, ...] = ("estimator", "threshold")) -> DataFrame:
-    """One record per group, from ``truth, model_pred, label, unsure``; one pass."""
+    """One record per group, from ``truth, model_pred, label, unsure``; one pass.
+
+    Fixed values: the names of the fields.
+    """
     truth, label, kept = F.col("truth"), F.col("label"), ~F.col("unsure")
     hit = (truth == label).cast("double")
     return df.groupBy(*by).agg(
@@ -61,47 +64,45 @@ def summary(df: DataFrame, by: tuple[str, ...] = ("estimator", "threshold")) ->
 
 
 def confusion(df: DataFrame, truth: str = "truth", pred: str = "label") -> DataFrame:
-    """4 x 4 counts with zero cells, row sums, and a last row of column sums."""
-    cells = [_tally(F.col(pred) == b).alias(f"pred_{b}") for b in BANDS]
-    seen = df.filter(F.col(truth).isin(*BANDS) & F.col(pred).isin(*BANDS))
-    cross = seen.groupBy(F.col(truth).cast("string").alias("truth")).agg(*cells)
-    rows = df.sparkSession.range(1, len(BANDS) + 1).select(F.col("id").cast("string").alias("truth"))
-    full = rows.join(F.broadcast(cross), "truth", "left").na.fill(0)
-    # the crossed table has four rows, so the totals cost nothing
-    totals = full.groupBy().agg(*[F.sum(f"pred_{b}").alias(f"pred_{b}") for b in BANDS])
-    table = full.unionByName(totals.withColumn("truth", F.lit("sum")))
-    return table.withColumn("total", reduce(Column.__add__, [F.col(f"pred_{b}") for b in BANDS]))
+    """4 x 4 counts with zero cells, row sums, and a last row of column sums; one aggregate."""
+    t, p = F.col(truth), F.col(pred)
+    counts = df.groupBy().agg(*[_tally((t == a) & (p == b)).alias(f"n{a}{b}") for a in BANDS for b in BANDS])
+
+    def row(name: str, cells: list[Column]) -> Column:
+        return F.struct(F.lit(name).alias("truth"),
+                        *[c.alias(f"pred_{b}") for b, c in zip(BANDS, cells)],
+                        reduce(Column.__add__, cells).alias("total"))
+    rows = [row(str(a), [F.col(f"n{a}{b}") for b in BANDS]) for a in BANDS]
+    sums = row("sum", [reduce(Column.__add__, [F.col(f"n{a}{b}") for a in BANDS]) for b in BANDS])
+    return counts.select(F.inline(F.array(*rows, sums)))
 
 
 def class_report(df: DataFrame, truth: str = "truth", pred: str = "label") -> DataFrame:
-    """Precision, recall, F1 and support by band, then accuracy, macro and weighted means."""
-    counts = df.groupBy().agg(*_class_counts(truth, pred, ""), F.count("*").alias("n"))
-    long = F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"tp{b}").alias("tp"),
-                              F.col(f"n{b}").alias("n"), F.col(f"m{b}").alias("m"))
-                     for b in BANDS])
+    """Precision, recall, F1 and support by band, then accuracy, macro and weighted means.
+
+    One aggregate gives a single row; all lines are arithmetic on it.
+    """
+    counts = df.groupBy().agg(*_class_counts(truth, pred, ""))
 
     def ratio(top: Column, bottom: Column) -> Column:
         return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
-    scores = counts.select(F.inline(long)).select(
-        "band", F.col("n").alias("support"), "tp",
-        ratio(F.col("tp"), F.col("m")).alias("precision"),
-        ratio(F.col("tp"), F.col("n")).alias("recall"),
-        ratio(2 * F.col("tp"), F.col("n") + F.col("m")).alias("f1"))
-    weight = F.col("support") / F.sum("support").over(Window.partitionBy(F.lit(1)))
-    names = ("precision", "recall", "f1")
-    weighted = scores.withColumn("x_w", weight)
-    bands = scores.select(F.col("band").cast("string").alias("row"), *names, "support")
-    accuracy = F.sum("tp") / F.sum("support")
-    means = weighted.agg(
-        F.struct(F.lit("macro avg").alias("row"), *[F.avg(c).alias(c) for c in names],
-                 F.sum("support").alias("support")).alias("macro"),
-        F.struct(F.lit("weighted avg").alias("row"),
-                 *[F.sum(F.col(c) * F.col("x_w")).alias(c) for c in names],
-                 F.sum("support").alias("support")).alias("weighted"),
-        F.struct(F.lit("accuracy").alias("row"), *[accuracy.alias(c) for c in names],
-                 F.sum("support").alias("support")).alias("accuracy"))
-    return bands.unionByName(means.select(F.inline(F.array("accuracy", "macro", "weighted"))))
+    def total(columns: list[Column]) -> Column:
+        return reduce(Column.__add__, columns)
+    tp, n, m = ([F.col(f"{x}{b}") for b in BANDS] for x in ("tp", "n", "m"))
+    scores = {"precision": [ratio(x, y) for x, y in zip(tp, m)],
+              "recall": [ratio(x, y) for x, y in zip(tp, n)],
+              "f1": [ratio(2 * x, y + z) for x, y, z in zip(tp, n, m)]}
+
+    def line(name: str, values: list[Column], support: Column) -> Column:
+        return F.struct(F.lit(name).alias("row"), *[v.alias(c) for c, v in zip(scores, values)],
+                        support.alias("support"))
+    lines = [line(str(b), [s[i] for s in scores.values()], n[i]) for i, b in enumerate(BANDS)]
+    lines += [line("accuracy", [total(tp) / total(n)] * 3, total(n)),
+              line("macro avg", [total(s) / len(BANDS) for s in scores.values()], total(n)),
+              line("weighted avg", [total([v * k / total(n) for v, k in zip(s, n)]) for s in scores.values()],
+                   total(n))]
+    return counts.select(F.inline(F.array(*lines)))
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -126,6 +127,7 @@ def rule_precision(df: DataFrame, by: Column, name: str) -> DataFrame:
 
 
 def rule_precision_by_bucket(df: DataFrame) -> DataFrame:
+    """The names of the two buckets."""
     high = F.col("hit.confidence") >= 0.9
     return rule_precision(df, F.when(high, "high (>=0.9)").otherwise("low (<0.9)"), "bucket")
 

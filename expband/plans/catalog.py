@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,16 +51,16 @@ def number_tokens(spark, sf):
             .withColumn("years", F.expr(rules.parse_number("token"))))
 
 
-def _mention_rows(df: DataFrame, text: str, field: str) -> DataFrame:
-    return rules.mentions(df, text).select("job_id", F.inline("mentions")).select(
-        "job_id", F.lit(field).alias("field"), "kind", "lo", "hi",
-        F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
-
-
 def mentions_long(spark, sf):
-    p = fx.postings(spark, sf)
-    return _mention_rows(p, "description", "description").unionByName(
-        _mention_rows(p, "title", "title"))
+    """Mentions of descriptions and titles, both from one scan."""
+    def of(field: str) -> Column:
+        return F.transform(f"of_{field}", lambda m: F.struct(
+            F.lit(field).alias("field"), m["kind"].alias("kind"), m["lo"].alias("lo"), m["hi"].alias("hi"),
+            m["start"].alias("start_pos"), m["end"].alias("end_pos")))
+    df = fx.postings(spark, sf)
+    for field in ("description", "title"):
+        df = rules.mentions(df, field, f"of_{field}")
+    return df.select("job_id", F.inline(F.concat(of("description"), of("title"))))
 
 
 def best_mention_band(spark, sf):
@@ -215,7 +216,7 @@ def fold_union(spark, sf):
 def word_ngrams_df(spark, sf):
     docs = fx.texts(spark, sf, "documents", "doc_id", "text").select(
         F.lit("").alias("title"), F.col("text").alias("description"))
-    stats = textfeat.term_statistics(textfeat.terms(docs, []), "desc_word")
+    stats = textfeat.term_statistics(textfeat.terms(docs, [], description_chars=None), "desc_word")
     return textfeat.vocabulary(stats, 2, textfeat.MAX_TERMS["desc_word"]).select(
         "term", F.col("df").cast("bigint").alias("df"), "cf")
 
@@ -228,35 +229,31 @@ def char_ngrams_df(spark, sf):
 
 
 def _weights(df: DataFrame, key: str) -> DataFrame:
-    """``key, idx, term, w`` of the description block, fitted and applied."""
-    by_doc = textfeat.terms(df, [key])
-    n_docs = df.agg(F.count("*").alias("n_docs"))
-    vocab = textfeat.vocabulary(textfeat.term_statistics(by_doc, "desc_word"), 2,
-                                textfeat.MAX_TERMS["desc_word"])
-    # one row on the right
-    model = vocab.join(F.broadcast(n_docs), F.lit(True)).select(
-        F.lit("desc_word").alias("block"), "term",
-        F.xxhash64("term").alias("idx"),
-        textfeat.smooth_idf(F.col("df"), F.col("n_docs")).alias("idf"))
-    return textfeat.tfidf(by_doc, key, model, ["desc_word"])
+    """``key, w``: weights of the description block, fitted and applied to whole texts."""
+    by_doc = textfeat.terms(df, [key], description_chars=None).select(key, "desc_word")
+    kept = textfeat.vocabulary(textfeat.term_statistics(by_doc, "desc_word"), 2,
+                               textfeat.MAX_TERMS["desc_word"])
+    rows = kept.select("term", textfeat.smooth_idf(F.col("df"), df.count()).alias("idf")).collect()  # capped
+    vocab = [("desc_word", r.term, i, r.idf) for i, r in enumerate(rows)]
+    weights = textfeat.weigher([r.idf for r in rows], [textfeat.BLOCKS.index("desc_word")] * len(rows))
+    return textfeat.counted(by_doc, vocab).select(key, weights("x_at", "x_tf").alias("w"))
 
 
 def tfidf_weights(spark, sf):
     turns = fx.table(spark, sf, "conversations").select(
         F.concat_ws("/", "conv_id", F.col("turn").cast("string")).alias("key"),
         F.lit("").alias("title"), F.col("text").alias("description"))
-    return _weights(turns, "key").select("key", F.inline("terms")).select(
+    return _weights(turns, "key").select("key", F.explode("w").alias("w")).select(
         "key", F.round("w", 6).alias("w"))
 
 
 def tfidf_documents(spark, sf):
     docs = fx.texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.lit("").alias("title"), F.col("text").alias("description"))
-    total = F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["w"])
-    largest = F.array_max(F.transform("terms", lambda t: t["w"]))
-    return _weights(docs, "doc_id").select(
-        "doc_id", F.size("terms").cast("bigint").alias("n_terms"),
-        F.round(total, 6).alias("sum_w"), F.round(largest, 6).alias("max_w"))
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    return _weights(docs, "doc_id").filter(F.size("w") > 0).select(
+        "doc_id", F.size("w").cast("bigint").alias("n_terms"),
+        F.round(total, 6).alias("sum_w"), F.round(F.array_max("w"), 6).alias("max_w"))
 
 
 def maxabs_scaled(spark, sf):
@@ -282,10 +279,15 @@ def argmax_low_tie(spark, sf):
         "vec_id", combine.argmax_low_tie(F.col("proba")).alias("model_pred"))
 
 
-def _combinable(spark, sf) -> DataFrame:
-    """Postings with hit, executive flag and synthetic probabilities."""
-    df = rules.add_columns(rules.add_signals(fx.posting_probabilities(spark, sf)),
-                           rules.hit_stages())
+def _combinable(spark, sf, truth: DataFrame | None = None) -> DataFrame:
+    """Postings with hit, executive flag and synthetic probabilities.
+
+    With truth, only the labelled ones: labels are joined before the rules read a text.
+    """
+    df = fx.posting_probabilities(spark, sf)
+    if truth is not None:
+        df = df.join(truth, "job_id")
+    df = rules.add_columns(rules.add_signals(df), rules.hit_stages())
     return rules.drop_signals(df.withColumn("executive", F.col("x_executive")))
 
 
@@ -304,8 +306,7 @@ def combine_eval(spark, sf):
 
 
 def review_queue(spark, sf):
-    return io.prediction_rows(io.review_queue(_combined(spark, sf).withColumn(
-        "confidence", F.round("confidence", 6))))
+    return io.prediction_rows(io.review_queue(_combined(spark, sf)))
 
 
 def score_counters(spark, sf):
@@ -320,7 +321,7 @@ def score_counters(spark, sf):
 def _labelled(spark, sf) -> DataFrame:
     """Labelled postings with truth, hit, probabilities and the model's own label."""
     truth = fx.label_records(spark, sf).select("job_id", F.col("label").alias("truth"), "source")
-    return _combinable(spark, sf).join(truth, "job_id").withColumn(
+    return _combinable(spark, sf, truth).withColumn(
         "model_pred", combine.argmax_low_tie(F.col("proba")))
 
 
@@ -348,9 +349,10 @@ def macro_f1(spark, sf):
 
 
 def label_distribution(spark, sf):
-    e = _evaluated(spark, sf)
-    return metrics.distribution(e, "truth").withColumn("side", F.lit("true")).unionByName(
-        metrics.distribution(e, "label").withColumn("side", F.lit("pred")))
+    sides = F.array(F.struct(F.lit("true").alias("side"), F.col("truth").alias("label")),
+                    F.struct(F.lit("pred").alias("side"), F.col("label").alias("label")))
+    return (_evaluated(spark, sf).select(F.inline(sides)).groupBy("label", "side")
+            .agg(F.count("*").alias("n")).select("label", "n", "side"))
 
 
 RATES = ("model_only_accuracy", "model_only_macro_f1", "hybrid_accuracy", "hybrid_macro_f1",
@@ -411,12 +413,8 @@ def rule_precision_by_rule(spark, sf):
 # ------------------------------------------------- files, training, streaming
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder on the shared storage the cluster names, else a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"expband-{name}-")
-    unique = spark.sql("SELECT uuid()").first()[0]
-    return f"{shared}/expband-{name}-{unique}"
+    """A new folder on the storage all executors share."""
+    return f"{io.shared_folder(spark)}/expband-{name}-{uuid.uuid4().hex}"
 
 
 def csv_roundtrip(spark, sf):
@@ -432,33 +430,50 @@ def csv_roundtrip(spark, sf):
 def json_labels(spark, sf):
     folder = _folder(spark, "json")
     rows = fx.label_records(spark, sf).select("job_id", "label", "unsure")
-    # a label file is one JSON array, so arrays are kept short and get a folder each
-    files = max(1, rows.count() // 500)
-    arrays = rows.groupBy(F.pmod(F.xxhash64("job_id"), F.lit(files)).alias("part")).agg(
-        F.to_json(F.collect_list(F.struct("job_id", "label", "unsure"))).alias("value"))
-    arrays.write.mode("overwrite").partitionBy("part").text(folder)
+    io.write_label_records(rows, folder)
     return io.load_label_records(spark, folder, "gold").select(
         "job_id", "label", "unsure", "title", "decided_by", "source")
 
 
-def _trained(spark, sf) -> TrainedModel:
-    labelled = io.join_labels(fx.label_records(spark, sf), fx.postings(spark, sf))
-    prepared = train.prepare(labelled)
-    name = "logreg_C0.5"
-    features, ensemble = train.fit_final(prepared, models.CANDIDATES[name])
-    return TrainedModel(name, combine.DEFAULT_THRESHOLD, features, ensemble)
+STATED_TERMS = 300
 
 
 def train_oof(spark, sf):
     labelled = io.join_labels(fx.label_records(spark, sf), fx.postings(spark, sf))
     oof = train.out_of_fold(train.prepare(labelled), models.CANDIDATES["logreg_C0.5"])
-    return oof.select("job_id", "truth", "fold", "model_pred", "proba")
+    total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
+    best = F.get("proba", F.col("model_pred") - 1) == F.array_max("proba")
+    return oof.select("job_id", "truth", "fold", F.round(total, 6).alias("sum_proba"), best.alias("is_best"))
+
+
+def _stated_model(spark, sf) -> TrainedModel:
+    """Features fitted on the postings, weights by a formula; saved and loaded again."""
+    rows = signals.numeric_features(fx.postings(spark, sf))
+    features = textfeat.fit_features(rows, description_chars=None, max_terms={
+        "title_word": 0, "title_char": 0, "desc_word": STATED_TERMS})
+    folds_, bands = models.CALIBRATION_FOLDS, len(models.BANDS)
+    place, slot = np.arange(len(features.vocab))[:, None], np.arange(folds_ * bands)
+    weights = ((place * 7 + slot * 13) % 17 - 8) / 4.0
+    numbers = np.zeros((len(features.scales), folds_ * bands))
+    ensemble = models.LinearEnsemble(np.concatenate([weights, numbers]), slot / 10.0, {
+        "slope": -np.ones((folds_, bands)), "offset": np.zeros((folds_, bands)),
+        "present": np.ones((folds_, bands), dtype=bool)})
+    folder = _folder(spark, "model")
+    TrainedModel("stated", combine.DEFAULT_THRESHOLD, features, ensemble).save(spark, folder)
+    return TrainedModel.load(spark, folder)
+
+
+def artifact_roundtrip(spark, sf):
+    """Probabilities by a saved and loaded model."""
+    df = signals.numeric_features(fx.postings(spark, sf))
+    return score.add_probabilities(df, _stated_model(spark, sf)).select(
+        "job_id", *[F.round(F.get("proba", i), 6).alias(f"p{i + 1}") for i in range(len(models.BANDS))])
 
 
 def score_model(spark, sf):
-    folder = _folder(spark, "model")
-    _trained(spark, sf).save(spark, folder)
-    return score.score(fx.postings(spark, sf), TrainedModel.load(spark, folder))
+    """Predictions of all postings by a saved and loaded model."""
+    return score.score(fx.postings(spark, sf), _stated_model(spark, sf)).withColumn(
+        "confidence", F.round("confidence", 6))
 
 
 def stream_equals_batch(spark, sf):
@@ -477,12 +492,14 @@ def stream_equals_batch(spark, sf):
 
 def report_json(spark, sf):
     folder = _folder(spark, "report")
-    at = _evaluated(spark, sf).withColumns({
+    rows = io.checkpointed(_labelled(spark, sf).drop("description"))
+    at = combine.combine(rows, combine.DEFAULT_THRESHOLD).withColumns({
         "estimator": F.lit("synthetic"), "threshold": F.lit(combine.DEFAULT_THRESHOLD)})
+    swept = combine.sweep(rows).withColumn("estimator", F.lit("synthetic"))
     tables = {"summary": metrics.summary(at), "confusion": metrics.confusion(at),
               "distribution_true": metrics.distribution(at, "truth"),
               "distribution_pred": metrics.distribution(at, "label"),
-              "sweep": _sweep(spark, sf)}
+              "sweep": metrics.summary(swept)}
     evaluation.write_report(tables, folder)
     back = spark.read.json(folder)
     return back.select(
@@ -501,5 +518,5 @@ CATALOG = {f.__name__: f for f in (
     argmax_low_tie, combined, combine_eval, review_queue, score_counters, confusion,
     confusion_kept, class_report, macro_f1, label_distribution, summary, threshold_sweep,
     threshold_choice, winner, rule_precision_bucket, rule_precision_by_rule, csv_roundtrip,
-    json_labels, train_oof, score_model, stream_equals_batch, report_json,
+    json_labels, train_oof, artifact_roundtrip, score_model, stream_equals_batch, report_json,
 )}

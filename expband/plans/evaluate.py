@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from expband.operators import combine, metrics, models
 from expband.plans import train
+from expband.plans.artifacts import TrainedModel
 from expband.sources import io
 
 
@@ -65,3 +66,13 @@ def report(tables: dict[str, DataFrame]) -> DataFrame:
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
     report(tables).coalesce(1).write.mode("overwrite").json(path)
+
+
+def evaluate_files(spark: SparkSession, postings: str, gold: str, silver: str, artifacts: str,
+                   target: str, n_folds: int = train.CV_FOLDS) -> dict[str, DataFrame]:
+    """Evaluate a saved model's estimator at its threshold, write the report, return all tables."""
+    model = TrainedModel.load(spark, artifacts)
+    labelled = train.load_labelled(spark, postings, gold, silver)
+    tables = evaluate(labelled, model.estimator, model.threshold, n_folds)
+    write_report(tables, target)
+    return tables

@@ -62,7 +62,6 @@ TEMPLATE_BANDS = (2, 2, 1, 3, 3, 1, 4, 4, 3, 2, 0, 0, 3, 1, 1, 1, 3, 2, 2, 4, 3,
 TITLE_BANDS = (0, 3, 3, 4, 4, 4, 1, 2, 3, 2, 4, 4, 4, 0, 1, 3, 2, 4, 0, 3)
 
 GOLD_EVERY = 5
-PROBABILITY_ROWS = 500
 UNMATCHED_SHIFT = 10_000_000
 
 
@@ -139,7 +138,6 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.array(*[F.lit(0.25)] * 4)
     close = F.array(F.lit(0.40), F.lit(0.35), F.lit(0.15), F.lit(0.10))
     return (table(spark, sf_dir, "embeddings")
-            .filter(v < PROBABILITY_ROWS)
             .select("vec_id", soft.alias("e"))
             .withColumn("total", total)
             .select("vec_id", F.when(v % 50 == 0, even).when(v % 50 == 1, close)
@@ -148,7 +146,9 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posting_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every posting with a probability vector; the 500 vectors are reused in turn."""
-    p = probabilities(spark, sf_dir)
-    return (postings(spark, sf_dir).withColumn("vec_id", F.col("doc_id") % PROBABILITY_ROWS)
-            .join(F.broadcast(p), "vec_id").drop("vec_id"))
+    """Every posting with a probability vector; all vectors are reused in turn."""
+    # one row on the right
+    n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("x_n"))
+    return (postings(spark, sf_dir).join(F.broadcast(n), F.lit(True))
+            .withColumn("vec_id", F.col("doc_id") % F.col("x_n"))
+            .join(probabilities(spark, sf_dir), "vec_id").drop("vec_id", "x_n"))

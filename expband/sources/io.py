@@ -22,14 +22,26 @@ LABEL_SCHEMA = ("job_id string, label string, title string, unsure string, decid
                 "evidence_snippet string, evidence_source string")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over the cores if the source has fewer splits than there are cores.
+# Input bytes of one task where rows are dealt out anew.
+SPREAD_BYTES = 256 << 20
+SPLIT_BYTES = 128 << 20
 
-    A few unsplittable files would otherwise leave the text work to a few tasks; an
-    input with enough splits is left alone and not shuffled.
+
+def spread(df: DataFrame, splittable: bool = True) -> DataFrame:
+    """Deal rows out where the source's own splits are too few or too large.
+
+    The size is the planner's estimate, so nothing runs here. A splittable source with
+    a split for every core is left alone; one file of many GB that only one task can
+    read is dealt out in parts of SPREAD_BYTES, whatever the number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(cores, -(-size // SPREAD_BYTES))
+    if splittable and size >= cores * SPLIT_BYTES:
+        return df
+    if not splittable and len(df.inputFiles()) >= wanted:
+        return df
+    return df.repartition(wanted)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -65,28 +77,56 @@ def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def load_postings(spark: SparkSession, path: str) -> DataFrame:
     """The posting universe of a CSV folder, unique by id, later rows replacing earlier.
 
-    A multi-line file is read by one task, so rows of a file keep their order.
+    A multi-line file is read by one task, so rows of a file keep their order. Only the
+    id is required; an absent title or description is empty.
     """
     raw = read_csv(spark, path).withColumns({
         "x_file": F.col("_metadata.file_path"), "x_row": F.monotonically_increasing_id()})
     named = raw.select(F.coalesce(ID_NAMES[0], F.lit("")).alias("job_id"),
-                       F.coalesce(TITLE_NAMES[0], F.lit("")).alias("title"),
-                       F.coalesce(DESCRIPTION_NAMES[0], F.lit("")).alias("description"),
+                       first_filled(raw, TITLE_NAMES[:1]).alias("title"),
+                       first_filled(raw, DESCRIPTION_NAMES[:1]).alias("description"),
                        "x_file", "x_row")
     return last_wins(named, "job_id", ["x_file", "x_row"]).drop("x_file", "x_row")
 
 
 def load_label_records(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Label records of JSON arrays, with defaults filled in and tagged by source."""
+    """Label records of JSON arrays, with defaults filled in and tagged by source.
+
+    An array may span lines, so each file is read whole.
+    """
     return normalise_labels(spark.read.schema(LABEL_SCHEMA).json(path, multiLine=True), source)
 
 
+# Any other value of the unsure flag counts as true.
+FALSE_VALUES = ("", "false", "0", "0.0", "[]", "{}")
+
+
+def _valid_label(label: Column) -> Column:
+    """The label as int; anything that is no band stops the job with a message."""
+    value = label.try_cast("double").cast("int")
+    problem = F.concat(F.lit("label is not a band from 1 to 4: "), F.coalesce(label, F.lit("null")))
+    return F.when(value.between(1, 4), value).otherwise(F.raise_error(problem).cast("int"))
+
+
+def write_label_records(rows: DataFrame, path: str, per_file: int = 5000) -> None:
+    """Label records as JSON arrays of about ``per_file`` records, one array to a file.
+
+    Arrays are collected within hash groups, whose number follows the rows.
+    """
+    groups = F.pmod(F.xxhash64("job_id"), F.greatest(F.lit(1), F.floor(F.col("x_n") / per_file)))
+    n = rows.agg(F.count("*").alias("x_n"))
+    # one row on the right
+    arrays = (rows.join(F.broadcast(n), F.lit(True)).groupBy(groups.alias("x_part"))
+              .agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def normalise_labels(raw: DataFrame, source: str) -> DataFrame:
     return raw.select(
         F.col("job_id").cast("string").alias("job_id"),
-        F.col("label").try_cast("double").cast("int").alias("label"),
+        _valid_label(F.col("label")).alias("label"),
         F.coalesce("title", F.lit("")).alias("title"),
-        F.coalesce(F.col("unsure").cast("string") == "true", F.lit(False)).alias("unsure"),
+        (~F.coalesce("unsure", F.lit("")).isin(*FALSE_VALUES)).alias("unsure"),
         *[F.coalesce(c, F.lit("")).alias(c)
           for c in ("decided_by", "evidence_snippet", "evidence_source")],
         F.lit(source).alias("source"))
@@ -111,8 +151,22 @@ def unmatched_labels(labels: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def three_decimals(value: Column) -> Column:
-    """Text with three decimals, exact halves to even as in C printf."""
-    return F.format_string("%.3f", F.bround(value.cast("decimal(38,30)"), 3).cast("double"))
+    """Text of a value from 0 to 1 with three decimals, rounded as in C printf.
+
+    The binary value decides, not its decimal text: times a power of two it is a whole
+    number, exactly, and thousandths are taken from that in integers, halves to even.
+    """
+    small = value < 2.0 ** -10
+    unit = F.when(small, F.lit(str(2 ** 73)).cast("decimal(38,0)")).otherwise(
+        F.lit(str(2 ** 62)).cast("decimal(38,0)"))
+    whole = (value * F.when(small, 2.0 ** 73).otherwise(2.0 ** 62)).cast("bigint")
+    scaled = (whole.cast("decimal(20,0)") * F.lit(1000)).cast("decimal(38,0)")
+    rest = scaled % unit
+    floor = ((scaled - rest) / unit).cast("bigint")
+    up = (2 * rest > unit) | ((2 * rest == unit) & (floor % 2 == 1))
+    thousandths = floor + up.cast("bigint")
+    return F.concat(F.floor(thousandths / 1000).cast("string"), F.lit("."),
+                    F.lpad((thousandths % 1000).cast("string"), 3, "0"))
 
 
 def prediction_rows(df: DataFrame) -> DataFrame:
@@ -134,19 +188,19 @@ def write_predictions(df: DataFrame, path: str, only_flagged: bool = False) -> N
     rows.write.mode("overwrite").options(**WRITE_OPTIONS).csv(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, which outlives executors.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local session falls back to a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="expband-")
 
-    The folder is ``spark.checkpoint.dir``; only a local session falls back to a
-    temporary one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder, which outlives executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="expband-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -129,3 +129,37 @@ def test_files_in_files_out_and_stream_equals_batch(spark, sf, model, tmp_path):
     again = incremental.score_arriving(arriving, model, str(tmp_path / "stream"), str(tmp_path / "ck"))
     again.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "stream")).count() == p.count()
+
+
+def test_label_flags_and_values(spark, tmp_path):
+    records = ('[{"job_id": "a", "label": 1, "unsure": 1}, {"job_id": "b", "label": "2", "unsure": "yes"},'
+               '{"job_id": "c", "label": 3, "unsure": "True"}, {"job_id": "d", "label": 4, "unsure": true},'
+               '{"job_id": "e", "label": 4, "unsure": 0}, {"job_id": "f", "label": 4, "unsure": ""},'
+               '{"job_id": "g", "label": 4, "unsure": false}, {"job_id": "h", "label": 4}]')
+    (tmp_path / "labels.json").write_text(records)
+    got = {r.job_id: (r.label, r.unsure) for r in io.load_label_records(spark, str(tmp_path), "gold").collect()}
+    assert got == {"a": (1, True), "b": (2, True), "c": (3, True), "d": (4, True), "e": (4, False),
+                   "f": (4, False), "g": (4, False), "h": (4, False)}
+
+
+@pytest.mark.parametrize("label", ["abc", None, "0", "5"])
+def test_bad_labels_stop_the_job(spark, label):
+    raw = spark.createDataFrame([("a", label, "", "", "", "", "")], io.LABEL_SCHEMA)
+    with pytest.raises(Exception, match="not a band"):
+        io.normalise_labels(raw, "gold").collect()
+
+
+def test_three_decimals_as_printf(spark):
+    import random
+    rng = random.Random(1)
+    values = [k / 16384 for k in range(0, 16385, 7)] + [k / 10000 for k in range(0, 10001, 5)]
+    values += [rng.random() for _ in range(3000)] + [rng.random() / 500 for _ in range(3000)] + [0.7125, 0.0025, 0.0005, 1.0, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", io.three_decimals(F.col("v")).alias("t")).collect()
+    assert all(r.t == "%.3f" % r.v for r in got)
+
+
+def test_postings_without_title_or_description(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("UniqueJobAdID,Other\n1,x\n2,y\n")
+    rows = io.load_postings(spark, str(tmp_path)).collect()
+    assert sorted((r.job_id, r.title, r.description) for r in rows) == [("1", "", ""), ("2", "", "")]
