@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from expband.llm import blocks
+from expband.llm import blocks, shared
 
 SYMBOLS = blocks.byte_table("#*$%&|<>")
 SHOUTS = blocks.byte_table("!?")
@@ -186,7 +186,7 @@ def clean_lines(df: DataFrame, text: str = "text", limits: Limits = Limits()) ->
                                                      names=[*rest, "quality"])
 
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("quality", quality)])
-    return df.select(*rest).mapInArrow(run, schema)
+    return shared.long_texts(df).select(*rest).mapInArrow(run, schema)
 
 
 def of_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -201,7 +201,7 @@ def pairs_by_prefix(docs: DataFrame, apart: DataFrame, banding: Banding) -> Data
 
 def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    signed = shared.written(signatures(docs, banding), "signatures")
+    signed = shared.written(signatures(shared.long_texts(docs), banding), "signatures")
     nodes = (signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles")
              .agg(F.min("doc_id").alias("node"), F.first("small_keys").alias("small_keys")))
     nodes = shared.written(nodes, "nodes")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from expband.llm import blocks
+from expband.llm.shared import long_texts
 
 SPACE = "▁"
 #: Letters that no piece continues with another kind of character; checked when a model is read.
@@ -32,7 +33,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Borders between these chunks are crossed by no piece, so chunks are encoded one by one.
 CHUNKS = re.compile(f"{SPACE}*[^{LETTERS}{SPACE}\n]*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}\n]+|{SPACE}+|\n")
 #: Chunks remembered by a Python worker, and the longest of them.
-CACHE_CHUNKS, CACHE_LENGTH = 400_000, 40
+CACHE_CHUNKS, CACHE_LENGTH = 150_000, 40
 
 
 @dataclass(frozen=True)
@@ -238,11 +239,11 @@ def _encoder(table: PieceTable) -> Encoder:
 
 def encode(df: DataFrame, text: str, table: PieceTable, into: str = "piece_ids") -> DataFrame:
     """Add the ids of every whole text as an array of ints."""
-    shared = df.sparkSession.sparkContext.broadcast(table)  # sized by the vocabulary
+    sent = long_texts(df).sparkSession.sparkContext.broadcast(table)  # sized by the vocabulary
     rest = [c for c in df.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder = _encoder(sent.value)
         for batch in batches:
             for part in blocks.slices(batch, text, 1 << 21):
                 rows = [encoder.encode_text(t) for t in part.column(text).to_pylist()]
@@ -262,11 +263,11 @@ def decode(df: DataFrame, ids: str, table: PieceTable, into: str = "decoded") ->
 
     Ids outside the vocabulary raise an error; control pieces decode to nothing.
     """
-    shared = df.sparkSession.sparkContext.broadcast(table)  # sized by the vocabulary
+    sent = df.sparkSession.sparkContext.broadcast(table)  # sized by the vocabulary
     rest = [c for c in df.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, at, size = _piece_bytes(shared.value)
+        data, at, size = _piece_bytes(sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

@@ -19,6 +19,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of long texts that go to Python at a time.
+BATCH_ROWS = 2000
+
+
+def long_texts(df: DataFrame) -> DataFrame:
+    """The same rows; the session's Arrow batches are cut down, as 10,000 long texts are too much."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 #: Most keys that are sent to every executor; beyond, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 

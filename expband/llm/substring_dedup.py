@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from expband.llm import blocks
+from expband.llm import blocks, shared
 
 WINDOW = 35
 SHORTEST = 8
@@ -52,7 +52,7 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """text_key, text_mark, text, copies: equal texts once, combined before the shuffle."""
-    return keyed(docs, text).groupBy(*KEYS).agg(
+    return keyed(shared.long_texts(docs), text).groupBy(*KEYS).agg(
         F.first(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.count("*").alias("copies"))
 
 
