@@ -116,9 +116,6 @@ def test_line_rules_remove_lines_then_judge(spark):
 
 def test_line_rules_keep_labelled_quality(spark, docs, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    got = line_rules.clean_lines(docs.select("doc_id", "text")).join(labels, "doc_id")
-    base = got.filter("NOT quality.base_failed") if "quality" not in labels.columns else None
-    del base
     verdict = line_rules.of_documents(spark, f"{sf}/documents.parquet").join(labels, "doc_id").filter("NOT base_failed")
     assert verdict.filter("quality = 1 AND NOT kept").count() == 0
     assert verdict.filter("quality = 0 AND kept").count() <= 0.02 * verdict.filter("quality = 0").count() + 1
@@ -212,7 +209,7 @@ def test_licences(spark, odd):
     got = {r.doc_id: r for r in license_index.scan(df).collect()}
     assert [got[i].base_labels for i in range(9)] == ["mit", "apache", "apache,mit", "", "", "", "gpl", "mit", ""]
     assert "mit-notice" in got[0].labels and "apache-2.0" in got[1].labels and got[3].labels == "cc-by-nc-4.0"
-    assert (got[2].n_base, got[2].first_word, got[2].last_word) == (3, 1, 6)
+    assert (got[2].n_base, got[2].first_word, got[2].last_word) == (3, 1, 7)
     assert got[4].n_words == 0 and got[4].first_word is None and got[4].score == 0.0
     assert all(0 <= r.score <= 1 for r in got.values())
     assert len(license_index.scan(odd).collect()) == odd.count()
