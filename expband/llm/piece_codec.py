@@ -15,8 +15,9 @@ that has the name of the result is replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from expband.llm import blocks
 from expband.llm.shared import long_texts
 
 SPACE = "▁"
@@ -36,7 +36,7 @@ CHUNKS = re.compile(f"{SPACE}*[^{LETTERS}{SPACE}\n]*[{LETTERS}]+|{SPACE}*[^{LETT
 CACHE_CHUNKS, CACHE_LENGTH = 150_000, 40
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class PieceTable:
     """What encoding and decoding need of a model; sized by its vocabulary."""
 
@@ -232,62 +232,64 @@ _LATEST: list[tuple[PieceTable, Encoder]] = []
 
 def _encoder(table: PieceTable) -> Encoder:
     """The encoder of this worker, which keeps its memory from task to task."""
-    if not _LATEST or (_LATEST[0][0] is not table and _LATEST[0][0] != table):
+    if not _LATEST or (_LATEST[0][0] is not table and _LATEST[0][0].pieces != table.pieces):
         _LATEST[:] = [(table, Encoder(table))]
     return _LATEST[0][1]
 
 
-def encode(df: DataFrame, text: str, table: PieceTable, into: str = "piece_ids") -> DataFrame:
-    """Add the ids of every whole text as an array of ints."""
-    sent = long_texts(df).sparkSession.sparkContext.broadcast(table)  # sized by the vocabulary
-    rest = [c for c in df.columns if c != into]
+def _encoded(texts: pa.Array, encoder: Encoder) -> pa.ListArray:
+    rows = [encoder.encode_text(t) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+    ids = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(ends), ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent.value)
-        for batch in batches:
-            for part in blocks.slices(batch, text, 1 << 21):
-                rows = [encoder.encode_text(t) for t in part.column(text).to_pylist()]
-                ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-                ids = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), pa.int32())
-                column = pa.ListArray.from_arrays(pa.array(ends), ids)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), column],
-                                                 names=[*rest, into])
 
-    schema = T.StructType([df.schema[c] for c in rest]
-                          + [T.StructField(into, T.ArrayType(T.IntegerType()))])
-    return df.select(*rest).mapInArrow(run, schema)
+def _decoded(ids: pa.Array, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    data, at, size = pieces
+    counts = np.array([len(x) if x.is_valid else 0 for x in ids])
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    length = size[flat]
+    place = np.concatenate(([0], np.cumsum(length)))
+    raw = data[np.repeat(at[flat] - place[:-1], length) + np.arange(place[-1])].tobytes()
+    ends = place[np.concatenate(([0], np.cumsum(counts)))]
+    return pa.array([_text(raw[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
 
 
-def decode(df: DataFrame, ids: str, table: PieceTable, into: str = "decoded") -> DataFrame:
-    """Add the text of an array of ids; bytes that are no UTF-8 become U+FFFD, one each.
+IDS, TEXT = T.ArrayType(T.IntegerType()), T.StringType()
 
-    Ids outside the vocabulary raise an error; control pieces decode to nothing.
-    """
-    sent = df.sparkSession.sparkContext.broadcast(table)  # sized by the vocabulary
-    rest = [c for c in df.columns if c != into]
+
+def _with_columns(df: DataFrame, source: str, table: PieceTable, fresh: dict[str, T.DataType],
+                  make: Callable[[pa.Array, PieceTable], list[pa.Array]]) -> DataFrame:
+    """Add columns made from one column, in one pass over slices of the rows."""
+    sent = long_texts(df).sparkSession.sparkContext.broadcast(table)  # sized by the vocabulary
+    rest = [c for c in df.columns if c not in fresh]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, at, size = _piece_bytes(sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                column = part.column(ids)
-                counts = np.array([len(x) if x.is_valid else 0 for x in column])
-                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                length = size[flat]
-                place = np.concatenate(([0], np.cumsum(length)))
-                source = np.repeat(at[flat] - place[:-1], length) + np.arange(place[-1])
-                raw = data[source].tobytes()
-                ends = place[np.concatenate(([0], np.cumsum(counts)))]
-                texts = [_text(raw[a:b]) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in rest), pa.array(texts, pa.string())],
-                    names=[*rest, into])
+                    [*(part.column(c) for c in rest), *make(part.column(source), sent.value)],
+                    names=[*rest, *fresh])
 
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(into, T.StringType())])
-    return df.select(*rest).mapInArrow(run, schema)
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(c, t) for c, t in fresh.items()])
+    return df.select(*dict.fromkeys([*rest, source])).mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, text: str, table: PieceTable, into: str = "piece_ids") -> DataFrame:
+    """Add the ids of every whole text as an array of ints."""
+    return _with_columns(df, text, table, {into: IDS}, lambda texts, t: [_encoded(texts, _encoder(t))])
+
+
+def decode(df: DataFrame, ids: str, table: PieceTable, into: str = "decoded") -> DataFrame:
+    """Add the text of an array of ids; bytes that are no UTF-8 become U+FFFD, one each.
+
+    Ids outside the vocabulary raise an error; control pieces decode to nothing.
+    """
+    return _with_columns(df, ids, table, {into: TEXT}, lambda column, t: [_decoded(column, _piece_bytes(t))])
 
 
+@lru_cache(maxsize=1)
 def _piece_bytes(table: PieceTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pieces' bytes joined, and where each begins and how long it is."""
     of_byte = {i: bytes([b]) for b, i in enumerate(table.byte_ids)}
@@ -320,10 +322,11 @@ def _text(raw: bytes) -> str:
 
 
 def encode_and_decode(df: DataFrame, text: str, model_file: str) -> DataFrame:
-    """Add ``piece_ids`` and ``decoded`` to the given columns."""
-    table = read_table(model_file)
-    encoded = encode(df, text, table)
-    return decode(encoded.select(*[c for c in encoded.columns if c != text]), "piece_ids", table)
+    """Add ``piece_ids`` and ``decoded``, the text of these ids, in one pass; the text stays behind."""
+    def both(texts: pa.Array, table: PieceTable) -> list[pa.Array]:
+        ids = _encoded(texts, _encoder(table))
+        return [ids, _decoded(ids, _piece_bytes(table))]
+    return _with_columns(df, text, read_table(model_file), {"piece_ids": IDS, "decoded": TEXT}, both).drop(text)
 
 
 def digests(df: DataFrame) -> DataFrame:
