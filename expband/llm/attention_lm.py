@@ -9,8 +9,8 @@ model gives the next id's class from the ids before it, and the id from its clas
 Frequent ids are classes of their own; the others are grouped by their neighbours inside frequent
 words. Both bigrams are counted over every training text, for the ids that have a symbol of their
 own; other ids share one symbol per class and follow their frequency there. The attention layer
-learns what the bigrams miss: every task runs Adam over windows of its own training texts, one run of
-words in ``train_every`` and one at least of each text, and the tasks' weights are averaged.
+learns what the bigrams miss: every task runs Adam over every run of words of its own training texts,
+and the tasks' weights are averaged.
 
 Texts are scored in windows of ``window`` ids that overlap, so that ids are predicted from at least
 ``window - stride`` ids before them; each id is scored once, and all windows of a slice are one
@@ -47,7 +47,7 @@ class Model:
     width: int = 16
     window: int = 16
     stride: int = 12
-    train_every: int = 16
+    train_every: int = 1    #: runs of words to one that is trained on; 1 takes all
     run_words: int = 10         #: words a training window is cut from
     rounds: int = 2
     batch: int = 256

@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from expband.llm import (attention_lm, chat_log, minhash_tensor, piece_codec, simhash_leaks, site_quality, warc_bundles)
+from expband.llm import (attention_lm, blocks, chat_log, minhash_tensor, piece_codec, simhash_leaks, site_quality, warc_bundles)
 from expband.llm import queries
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -253,6 +254,27 @@ def test_language_model_odd_rows(spark):
     assert attention_lm.score(docs.filter("false"), piece_codec.default_model(), SMALL).count() == 0
 
 
+@pytest.fixture(scope="module")
+def subwords():
+    words = ["the", "of", "and", "information", "data", "internationalization", "a", "x", "to", "in"]
+    tables = attention_lm.start_tables(words, piece_codec.default_model(), attention_lm.Model())
+    return attention_lm.Subwords(tables)
+
+
+def _trained(subwords, texts):
+    """Windows of the texts, and the ids and offsets they are laid over."""
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)), pa.int32())], ["text", "text_mark"])
+    with np.errstate(over="ignore"):
+        words = blocks.Words(rows.column("text"), lower=True)
+        ids, offsets, _ = subwords.of(words, words.hashes())
+        return attention_lm._training_windows(rows, words, subwords), ids, offsets
+
+
+def test_every_run_of_words_is_trained_on(subwords):
+    (_, _, mask), _, _ = _trained(subwords, ["the of and a to in data x " * 100, "the of", None])
+    assert mask.sum() >= 9 * 80     # ten words each in 80 runs; a later run's first id may not count
+
+
 def test_windows_score_each_id_once_and_sum_to_one():
     m = attention_lm.Model(symbols=16, classes=8, groups=2, window=6, stride=4, width=4)
     rng = np.random.default_rng(1)
