@@ -9,12 +9,12 @@ model gives the next id's class from the ids before it, and the id from its clas
 Frequent ids are classes of their own; the others are grouped by their neighbours inside frequent
 words. Both bigrams are counted over every training text, for the ids that have a symbol of their
 own; other ids share one symbol per class and follow their frequency there. The attention layer
-learns what the bigrams miss: every task runs Adam over every run of words of its own training texts,
-and the tasks' weights are averaged.
+learns what the bigrams miss: every task runs Adam over all ids of its own training texts, and the
+tasks' weights are averaged.
 
-Texts are scored in windows of ``window`` ids that overlap, so that ids are predicted from at least
-``window - stride`` ids before them; each id is scored once, and all windows of a slice are one
-masked batch.
+Texts are trained on and scored in windows of ``window`` ids that overlap, so that ids are predicted
+from at least ``window - stride`` ids before them; each id is a target once in every round, and is
+scored once.
 
 The base score is a smoothed word unigram over all training words. Words on a bounded list of
 frequent ones are counted and looked up in the tasks; all others go by shuffle to their count and
@@ -47,8 +47,7 @@ class Model:
     width: int = 16
     window: int = 16
     stride: int = 12
-    train_every: int = 1    #: runs of words to one that is trained on; 1 takes all
-    run_words: int = 10         #: words a training window is cut from
+    train_every: int = 1        #: windows of a text to one that is trained on; 1 takes all
     rounds: int = 2
     batch: int = 256
     rate: float = 0.01
@@ -321,32 +320,37 @@ def _step(symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray, tables: Ta
     return np.concatenate([g.ravel() for g in grad])
 
 
+def _laid(n: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Row and first place of the overlapping windows over rows of n ids."""
+    windows = 1 + np.maximum(0, -(-(n - m.window) // m.stride))
+    row = np.repeat(np.arange(len(n)), windows)
+    return row, (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)) * m.stride
+
+
+def _seen(row: np.ndarray, first: np.ndarray, symbols: np.ndarray, offsets: np.ndarray,
+          m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows: where the ids to predict stand, the symbols before them, and which are wanted, so
+    that each id of a row is wanted once."""
+    place = np.arange(m.window)
+    inner = first[:, None] + place                       # place in the text of the id to predict
+    at = np.minimum(offsets[row][:, None] + inner, len(symbols) - 1)
+    last = symbols[np.maximum(at - 1, 0)]
+    last[inner == 0] = m.symbols - 1
+    wanted = (inner < np.diff(offsets)[row][:, None]) & ((first == 0)[:, None] | (place >= m.window - m.stride))
+    return at, last, wanted
+
+
 def _training_windows(part: pa.RecordBatch, words: blocks.Words, subwords: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, target classes and mask of the chosen runs of words."""
+    """Symbols, target classes and mask of the windows over all ids, as texts are scored."""
     t, m = subwords.t, subwords.t.model
-    runs = np.maximum(1, -(-words.counts // m.run_words))
-    row = np.repeat(np.arange(len(runs)), runs)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
-    turn = part.column("text_mark").to_numpy().astype(np.int64) % np.minimum(m.train_every, runs)
-    chosen = number % m.train_every == turn[row]
-    row, number = row[chosen], number[chosen]
-    first = words.first[row] + number * m.run_words
-    last = np.minimum(first + m.run_words, words.first[row + 1])
-    # The chosen runs as rows of their own.
-    size = last - first
-    picked = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    some = words.some(picked, np.concatenate(([0], np.cumsum(size))))
-    ids, offsets, _ = subwords.of(some, some.hashes())
-    ends_text = last == words.first[row + 1]
-    length = np.diff(offsets) - ~ends_text          # only a text's last run has its end
-    place = np.arange(m.window)
-    mask = place < length[:, None]
-    at = np.minimum(offsets[:-1, None] + place, len(ids) - 1)
-    targets = t.group[ids[at]]
-    symbols = np.concatenate((np.zeros((len(at), 1), np.int64), t.symbol[ids[at[:, :-1]]]), axis=1)
-    symbols[:, 0] = np.where(number == 0, m.symbols - 1, 0)
-    mask[:, 0] &= number == 0                       # what stands before a later run isn't known here
-    return symbols, targets, mask
+    ids, offsets, _ = subwords.of(words, words.hashes())
+    row, first = _laid(np.diff(offsets), m)
+    if m.train_every > 1:
+        turn = part.column("text_mark").to_numpy().astype(np.int64) % np.minimum(m.train_every, np.bincount(row))
+        chosen = first // m.stride % m.train_every == turn[row]
+        row, first = row[chosen], first[chosen]
+    at, symbols, mask = _seen(row, first, t.symbol[ids], offsets, m)
+    return symbols, t.group[ids[at]], mask
 
 
 def train(rows: DataFrame, tables: Tables) -> np.ndarray:
@@ -389,21 +393,14 @@ def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
     m, n = tables.model, np.diff(offsets)
     weights, chance = _split(tables.theta, m), np.exp(tables.bigram)
     symbols, groups = tables.symbol[ids], tables.group[ids]
-    windows = 1 + np.maximum(0, -(-(n - m.window) // m.stride))
-    row = np.repeat(np.arange(len(n)), windows)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    first = number * m.stride
-    place, score = np.arange(m.window), tables.alone[ids].astype(np.float64)
+    row, first = _laid(n, m)
+    score = tables.alone[ids].astype(np.float64)
     before = np.concatenate(([0], symbols[:-1]))
     before[offsets[:-1]] = m.symbols - 1
     score += tables.pair[before, tables.column[ids]]
     for i in range(0, len(row), BATCH_WINDOWS):
         r, f = row[i:i + BATCH_WINDOWS], first[i:i + BATCH_WINDOWS]
-        inner = f[:, None] + place                       # place in the text of the id to predict
-        at = np.minimum(offsets[r][:, None] + inner, len(ids) - 1)
-        last = symbols[np.maximum(at - 1, 0)]
-        last[inner == 0] = m.symbols - 1
-        wanted = (inner < n[r][:, None]) & ((f == 0)[:, None] | (place >= m.window - m.stride))
+        at, last, wanted = _seen(r, f, symbols, offsets, m)
         h = _attend(last, weights)[0][wanted]
         there, before_it = at[wanted], last[wanted]
         logit = h @ weights[3]

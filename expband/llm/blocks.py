@@ -103,15 +103,6 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def some(self, chosen: np.ndarray, first: np.ndarray) -> Words:
-        """Chosen words as rows of their own; first: index of each row's first, and their number."""
-        out = object.__new__(Words)
-        out.raw, out.offsets, out._inside = self.raw, self.offsets, None
-        out.start, out.end, out.first = self.start[chosen], self.end[chosen], first
-        out.counts = np.diff(first)
-        out.row = np.repeat(np.arange(len(out.counts)), out.counts)
-        return out
-
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes and length."""
         if not len(self):

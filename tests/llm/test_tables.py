@@ -275,6 +275,16 @@ def test_every_run_of_words_is_trained_on(subwords):
     assert mask.sum() >= 9 * 80     # ten words each in 80 runs; a later run's first id may not count
 
 
+def test_each_id_is_a_training_target_once(subwords):
+    texts = ["internationalization of information " * 30, "the", "", None, "of the data " * 7]
+    (symbols, targets, mask), ids, offsets = _trained(subwords, texts)
+    t = subwords.t
+    before = np.concatenate(([0], t.symbol[ids[:-1]]))
+    before[offsets[:-1]] = t.model.symbols - 1
+    assert targets[mask].tolist() == t.group[ids].tolist()
+    assert symbols[mask].tolist() == before.tolist()
+
+
 def test_windows_score_each_id_once_and_sum_to_one():
     m = attention_lm.Model(symbols=16, classes=8, groups=2, window=6, stride=4, width=4)
     rng = np.random.default_rng(1)
