@@ -7,8 +7,9 @@ Built-in functions only. Texts are lower-cased and split into runs of letters an
    document, and as long as the document if that is shorter.
 2. Windows and items get a 64-bit SimHash of their words, weighted by length.
 3. Fingerprints are cut into four blocks of 16 bits. If two differ in at most ``radius`` bits, some
-   block differs in at most radius // 4; the index holds every item under all block values that
-   near, so an equi-join on block and value finds all items within the radius, and none is missed.
+   block differs in at most radius // 4. Half of these bits are turned on either side: the index holds
+   every item under all block values up to half that far, windows look up their own value and those
+   the other half away, so an equi-join on block and value finds all items within the radius.
 4. Candidates are verified on their shingles: the length of the words in shared shingles over that
    of all shingles of either must reach ``similarity``.
 
@@ -39,7 +40,7 @@ BLOCKS, BLOCK_BITS = 4, 16
 class Radius:
     shingle: int = 5
     similarity: float = 0.8
-    bits: int = 15          #: largest Hamming distance of fingerprints
+    bits: int = 23          #: largest Hamming distance of fingerprints
 
 
 def words_of(text: Column) -> Column:
@@ -133,8 +134,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, limits: Radius = Radius()) -> D
     windows = shared.written(windows, "fingerprints")
 
     # Multi-index Hamming search: items under every block value near their own.
-    near = F.explode(F.array(*[F.lit(m) for m in range(2 ** BLOCK_BITS)
-                               if m.bit_count() <= limits.bits // BLOCKS]))
+    wide = limits.bits // BLOCKS
+    half = (wide + 1) // 2
+    near = F.explode(F.array(*[F.lit(m) for m in range(2 ** BLOCK_BITS) if m.bit_count() <= half]))
+    far = F.explode(F.array(*[F.lit(m) for m in range(2 ** BLOCK_BITS) if m.bit_count() in (0, wide - half)]))
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
     index = (items.select("item_id", "item_print", blocks)
              .select("item_id", "item_print", "block", _block(F.col("item_print"), F.col("block")).alias("own"),
@@ -142,8 +145,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, limits: Radius = Radius()) -> D
              .select("item_id", "item_print", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     candidates = (windows.select("doc_id", "first_word", "n_words", "print").distinct()
-                  .select("*", blocks).withColumn("value", _block(F.col("print"), F.col("block")))
+                  .select("*", blocks).select("*", far.alias("turned"))
+                  .withColumn("value", _block(F.col("print"), F.col("block")).bitwiseXOR(F.col("turned")))
                   .join(index, ["block", "value"])
+                  .filter((F.col("turned") == 0) | (F.bit_count(_block(
+                      F.col("print").bitwiseXOR(F.col("item_print")), F.col("block"))) > half))
                   .withColumn("distance", distance).filter(F.col("distance") <= limits.bits)
                   .select("doc_id", "first_word", "n_words", "item_id", "distance").distinct())
 

@@ -165,6 +165,23 @@ def test_leaks_of_odd_rows(spark):
     assert simhash_leaks.leaks(df, bench.filter("false")).count() == 0
 
 
+def test_leaks_with_one_long_word_swapped(spark):
+    """One long word turns many bits of a fingerprint, and few of the shingles."""
+    rng = np.random.default_rng(5)
+
+    def word(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    items, docs = [], []
+    for k in range(40):
+        words = [word(rng.integers(2, 10)) for _ in range(60)]
+        items.append((k, " ".join([*words, word(24)])))
+        docs += [(2 * k, " ".join([*words, word(24)])), (2 * k + 1, " ".join([word(24), *words[1:], items[-1][1].split()[-1]]))]
+    got = simhash_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.first_word) for r in got} == _leaks(docs, items)
+    assert len(got) == len(docs)
+
+
 def test_leaks_run_without_python(spark, sf, capsys):
     simhash_leaks.leaks(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).explain()
     plan = capsys.readouterr().out
