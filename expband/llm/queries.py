@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from expband.llm import (attention_lm, chat_log, filter_audit, license_index, line_rules, minhash_tensor, oracles,
-                         piece_codec, simhash_leaks, site_quality, substring_dedup, toxicity_cnn, warc_bundles)
+                         piece_codec, simhash_leaks, site_quality, substring_dedup, token_alignment,
+                         toxicity_cnn, warc_bundles)
 
 
 def op1_site_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit.of_documents(spark, f"{sf}/documents.parquet", f"{sf}/labels.parquet")
 
 
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return token_alignment.of_documents(spark, f"{sf}/documents.parquet")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -67,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_site_quality, op2_piece_codec, op3_warc_bundles, op4_chat_log, op5_substring_dedup, op6_line_rules,
         op7_minhash_tensor, op8_license_index, op9_simhash_leaks,
-        op10_attention_lm, op11_toxicity_cnn, op12_filter_audit, pipeline)}
+        op10_attention_lm, op11_toxicity_cnn, op12_filter_audit,
+        op13_token_alignment, pipeline)}
 ORACLES: dict[str, str] = oracles.ORACLES
