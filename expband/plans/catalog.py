@@ -16,7 +16,7 @@ from expband.plans import evaluate as evaluation
 from expband.plans import score, train
 from expband.plans.artifacts import TrainedModel
 from expband.sources import fixtures as fx
-from expband.sources import io
+from expband.sources import csv_split, io
 from expband.streaming import incremental
 
 HIT_FIELDS = ("label", "confidence", "decided_by", "evidence_snippet", "evidence_source",
@@ -427,6 +427,21 @@ def csv_roundtrip(spark, sf):
         "job_id", "title", F.md5(F.regexp_replace("description", r"\r\n?", "\n")).alias("digest"))
 
 
+def csv_split_scan(spark, sf):
+    """The postings CSV read by byte ranges with a quote-parity scan; the same rows as csv_roundtrip."""
+    folder = _folder(spark, "csv-split")
+    raw = fx.postings(spark, sf).select(
+        F.col("job_id").alias("UniqueJobAdID"), F.col("title").alias("OrigJobTitle"),
+        F.col("description").alias("JobDescription"), F.lit("ignored").alias("Extra"))
+    raw.write.mode("overwrite").options(**io.WRITE_OPTIONS).csv(folder, quoteAll=True)
+    read = csv_split.read_csv(spark, folder)
+    named = read.select(F.coalesce(io.ID_NAMES[0], F.lit("")).alias("job_id"),
+                        io.first_filled(read, io.TITLE_NAMES[:1]).alias("title"),
+                        io.first_filled(read, io.DESCRIPTION_NAMES[:1]).alias("description"), "x_file", "x_order")
+    return io.last_wins(named, "job_id", ["x_file", "x_order"]).select(
+        "job_id", "title", F.md5(F.regexp_replace("description", r"\r\n?", "\n")).alias("digest"))
+
+
 def json_labels(spark, sf):
     folder = _folder(spark, "json")
     rows = fx.label_records(spark, sf).select("job_id", "label", "unsure")
@@ -519,4 +534,5 @@ CATALOG = {f.__name__: f for f in (
     confusion_kept, class_report, macro_f1, label_distribution, summary, threshold_sweep,
     threshold_choice, winner, rule_precision_bucket, rule_precision_by_rule, csv_roundtrip,
     json_labels, train_oof, artifact_roundtrip, score_model, stream_equals_batch, report_json,
+    csv_split_scan,
 )}
