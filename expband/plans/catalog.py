@@ -16,7 +16,7 @@ from expband.plans import evaluate as evaluation
 from expband.plans import score, train
 from expband.plans.artifacts import TrainedModel
 from expband.sources import fixtures as fx
-from expband.sources import csv_split, io
+from expband.sources import csv_split, io, json_split
 from expband.streaming import incremental
 
 HIT_FIELDS = ("label", "confidence", "decided_by", "evidence_snippet", "evidence_source",
@@ -450,6 +450,15 @@ def json_labels(spark, sf):
         "job_id", "label", "unsure", "title", "decided_by", "source")
 
 
+def json_split_scan(spark, sf):
+    """Label arrays read by byte ranges with composable state tables; the same rows as json_labels."""
+    folder = _folder(spark, "json-split")
+    rows = fx.label_records(spark, sf).select("job_id", "label", "unsure")
+    io.write_label_records(rows, folder)
+    raw = json_split.read_json(spark, folder, io.LABEL_SCHEMA).drop("x_file", "x_order")
+    return io.normalise_labels(raw, "gold").select("job_id", "label", "unsure", "title", "decided_by", "source")
+
+
 STATED_TERMS = 300
 
 
@@ -534,5 +543,5 @@ CATALOG = {f.__name__: f for f in (
     confusion_kept, class_report, macro_f1, label_distribution, summary, threshold_sweep,
     threshold_choice, winner, rule_precision_bucket, rule_precision_by_rule, csv_roundtrip,
     json_labels, train_oof, artifact_roundtrip, score_model, stream_equals_batch, report_json,
-    csv_split_scan,
+    csv_split_scan, json_split_scan,
 )}
