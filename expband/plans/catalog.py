@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from expband.functions import rules, signals, sql
 from expband.functions import spans as sp
-from expband.operators import combine, folds, metrics, models, textfeat
+from expband.operators import combine, folds, metrics, models, textfeat, topk_vocab
 from expband.plans import evaluate as evaluation
 from expband.plans import score, train
 from expband.plans.artifacts import TrainedModel
@@ -459,6 +459,15 @@ def json_split_scan(spark, sf):
     return io.normalise_labels(raw, "gold").select("job_id", "label", "unsure", "title", "decided_by", "source")
 
 
+def vocab_bounds(spark, sf):
+    """word_ngrams_df's vocabulary by the threshold algorithm: only terms that can reach it are shuffled."""
+    docs = fx.texts(spark, sf, "documents", "doc_id", "text").select(
+        F.lit("").alias("title"), F.col("text").alias("description"))
+    arrays = textfeat.terms(docs, [], description_chars=None)
+    return topk_vocab.vocabulary(arrays, "desc_word", 2, textfeat.MAX_TERMS["desc_word"]).select(
+        "term", F.col("df").cast("bigint").alias("df"), "cf")
+
+
 STATED_TERMS = 300
 
 
@@ -543,5 +552,5 @@ CATALOG = {f.__name__: f for f in (
     confusion_kept, class_report, macro_f1, label_distribution, summary, threshold_sweep,
     threshold_choice, winner, rule_precision_bucket, rule_precision_by_rule, csv_roundtrip,
     json_labels, train_oof, artifact_roundtrip, score_model, stream_equals_batch, report_json,
-    csv_split_scan, json_split_scan,
+    csv_split_scan, json_split_scan, vocab_bounds,
 )}
