@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from expband.functions import rules, signals, sql
 from expband.functions import spans as sp
-from expband.operators import combine, folds, metrics, models, textfeat, topk_vocab
+from expband.operators import breakpoints, combine, folds, metrics, models, textfeat, topk_vocab
 from expband.plans import evaluate as evaluation
 from expband.plans import score, train
 from expband.plans.artifacts import TrainedModel
@@ -378,6 +378,12 @@ def threshold_sweep(spark, sf):
     return _rounded(_sweep(spark, sf))
 
 
+def threshold_sweep_bp(spark, sf):
+    """threshold_sweep by breakpoints: one aggregate, no row per row and threshold."""
+    df = _labelled(spark, sf).withColumn("estimator", F.lit("synthetic"))
+    return _rounded(breakpoints.sweep_summary(df))
+
+
 def threshold_choice(spark, sf):
     return _rounded(metrics.choose_threshold(_sweep(spark, sf)))
 
@@ -552,5 +558,5 @@ CATALOG = {f.__name__: f for f in (
     confusion_kept, class_report, macro_f1, label_distribution, summary, threshold_sweep,
     threshold_choice, winner, rule_precision_bucket, rule_precision_by_rule, csv_roundtrip,
     json_labels, train_oof, artifact_roundtrip, score_model, stream_equals_batch, report_json,
-    csv_split_scan, json_split_scan, vocab_bounds,
+    csv_split_scan, json_split_scan, vocab_bounds, threshold_sweep_bp,
 )}
