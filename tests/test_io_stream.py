@@ -163,3 +163,33 @@ def test_postings_without_title_or_description(spark, tmp_path):
     (tmp_path / "p.csv").write_text("UniqueJobAdID,Other\n1,x\n2,y\n")
     rows = io.load_postings(spark, str(tmp_path)).collect()
     assert sorted((r.job_id, r.title, r.description) for r in rows) == [("1", "", ""), ("2", "", "")]
+
+
+def test_save_is_committed_by_pointer(spark, sf, model, tmp_path, monkeypatch):
+    from expband.plans import artifacts
+    folder = str(tmp_path / "v")
+    first = model.save(spark, folder)
+    assert TrainedModel.load(spark, folder).threshold == 0.55
+    # a second save that breaks after its features, before its meta and pointer
+    broken = TrainedModel(model.estimator, 0.7, model.features, model.ensemble, model.cv_summary)
+    real = spark.createDataFrame
+
+    def fail_on_meta(data, schema=None, *a, **k):
+        if schema == "value string" and "estimator_name" in str(data):
+            raise RuntimeError("executor lost")
+        return real(data, schema, *a, **k)
+
+    monkeypatch.setattr(spark, "createDataFrame", fail_on_meta)
+    with pytest.raises(RuntimeError):
+        broken.save(spark, folder)
+    monkeypatch.undo()
+    assert artifacts.current(spark, folder) == first
+    assert TrainedModel.load(spark, folder).threshold == 0.55
+    second = broken.save(spark, folder)
+    assert [v for _, v in artifacts.versions(spark, folder)] == [first, second]
+    assert TrainedModel.load(spark, folder).threshold == 0.7
+
+
+def test_earlier_layout_is_read(spark, model, tmp_path):
+    model.write_tables(spark, str(tmp_path / "old"))
+    assert TrainedModel.load(spark, str(tmp_path / "old")).estimator == model.estimator
