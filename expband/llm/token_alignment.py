@@ -115,6 +115,11 @@ class Aligner:
                 self.b_bytes.append(piece.replace("\u2581", " ").encode("utf-8"))
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        # all token bytes in one buffer, so that a sequence's bytes are one vectorised gather
+        self.a_flat = np.frombuffer(b"".join(self.a_bytes), np.uint8)
+        self.b_flat = np.frombuffer(b"".join(self.b_bytes), np.uint8)
+        self.a_off = np.cumsum(self.a_len) - self.a_len
+        self.b_off = np.cumsum(self.b_len) - self.b_len
         self.a_dec = np.array([str(i) for i in range(len(self.a_bytes))], object)
         self.b_dec = np.array([str(i) for i in range(len(self.b_bytes))], object)
 
@@ -136,12 +141,13 @@ class Aligner:
         if not a_list or not b_list:
             return None
         a, b = np.array(a_list, np.int64), np.array(b_list, np.int64)
-        if self.a_len[a].sum() != len(raw) or self.b_len[b].sum() != len(raw):
+        la, lb = self.a_len[a], self.b_len[b]
+        ea, eb = np.cumsum(la), np.cumsum(lb)
+        if ea[-1] != len(raw) or eb[-1] != len(raw):
             return None
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[i] for i in a_list]) != raw or b"".join([b_bytes[i] for i in b_list]) != raw:
+        if (_gather(self.a_flat, self.a_off[a], la, ea) != raw
+                or _gather(self.b_flat, self.b_off[b], lb, eb) != raw):
             return None
-        ea, eb = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
         return a, b, ia, ib
 
@@ -159,6 +165,12 @@ class Aligner:
         return "".join(out.tolist())[:-1]
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, ends: np.ndarray) -> bytes:
+    """The bytes of a token sequence: ``flat[starts[k]:starts[k] + lens[k]]`` joined over ``k``."""
+    pos = np.arange(ends[-1]) + np.repeat(starts - (ends - lens), lens)
+    return flat[pos].tobytes()
+
+
 # ------------------------------------------------------------------------------------ perfect hash
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
