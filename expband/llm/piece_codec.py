@@ -32,7 +32,7 @@ SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Borders between these chunks are crossed by no piece, so chunks are encoded one by one.
 CHUNKS = re.compile(f"{SPACE}*[^{LETTERS}{SPACE}\n]*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}\n]+|{SPACE}+|\n")
-#: Chunks remembered by a Python worker, and the longest of them.
+#: Chunks remembered by a Python worker in each of two generations, and the longest of them.
 CACHE_CHUNKS, CACHE_LENGTH = 150_000, 40
 
 
@@ -128,11 +128,15 @@ class Encoder(dict):
                 self.automaton.add_word(table.pieces[i], (r, len(table.pieces[i])))
         self.automaton.make_automaton()
         self.checked: dict[int, bool] = {}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        out = np.array(self.encode_chunk(chunk), dtype="<i4").tobytes()
+        out = self.older.get(chunk)
+        if out is None:
+            out = np.array(self.encode_chunk(chunk), dtype="<i4").tobytes()
         if len(chunk) <= CACHE_LENGTH:
-            if len(self) >= CACHE_CHUNKS:
+            if len(self) >= CACHE_CHUNKS:  # two generations: the full one becomes the older one
+                self.older = dict(self)
                 self.clear()
             self[chunk] = out
         return out

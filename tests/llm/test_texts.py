@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,20 @@ def test_piece_digests_of_a_document(docs):
         assert got[r.doc_id].n_tokens == len(ids)
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_pieces_survive_cache_generations(table, monkeypatch):
+    import random
+
+    import sentencepiece
+
+    monkeypatch.setattr(piece_codec, "CACHE_CHUNKS", 7)
+    rng = random.Random(11)
+    words = ["the", "cat", "é", "naïve", "123", "  ", "\n", "x-y", "über", "ok."]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
+    enc = piece_codec.Encoder(table)
+    for t in texts * 2:
+        got = np.frombuffer(enc.encode_text(t), "<i4").tolist()
+        assert got == sp.encode(t), t
+    assert len(enc) <= 7 and len(enc.older) <= 7
