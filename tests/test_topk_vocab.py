@@ -49,3 +49,23 @@ def test_query_equals_plain_query(spark, sf):
     a = sorted(map(tuple, catalog.vocab_bounds(spark, sf).collect()))
     b = sorted(map(tuple, catalog.word_ngrams_df(spark, sf).collect()))
     assert a == b and len(a) > 0
+
+
+def test_a_task_counts_in_sites_of_bounded_size(spark):
+    """One task of many distinct terms ends sites as they fill up; no bound, no text twice, same result."""
+    rng = random.Random(9)
+    rows = [["hot", "warm", "hot"] + [f"t{rng.randint(0, 200_000)}" for _ in range(20)] for _ in range(2000)]
+    df = _arrays(spark, rows, 1)
+    counts = topk_vocab.local_counts(df, "t", 10, site_terms=500)
+    sizes = [r["count"] for r in counts.groupBy("site").count().collect()]
+    assert len(sizes) > 3 and max(sizes) <= 500 + 10_000   # a site ends with the batch that fills it
+    assert counts.agg(F.sum("cf")).first()[0] == sum(map(len, rows))
+    for min_df, k in ((1, 2), (2, 50)):
+        got = topk_vocab.vocabulary(df, "t", min_df, k, site_terms=500).collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in _plain(df, min_df, k)]
+
+
+def test_statistics_mark_nulls_and_repeats(spark):
+    df = _arrays(spark, [["b", "a", "b"], [None, None, "a"], None, [], ["a", "a"]], 2)
+    got = {r.term: (r.df, r.cf) for r in textfeat.term_statistics(df, "t").collect()}
+    assert got == {"a": (3, 4), "b": (1, 2)}
