@@ -11,12 +11,12 @@ Calibration by language: the language of a text is not an input (nor its labels,
 it is detected from the text by a multinomial naive Bayes over hashed tokens whose counts the engine
 aggregates over all training rows (``lang`` is the target of that detector, never an input of a
 score). For each detected language a Platt pair (slope, offset) maps the raw logit to the score,
-fitted on a calibration fifth of the sample and drawn towards the all-language pair by a ridge
+fitted on a calibration fifth of the labelled rows and drawn towards the all-language pair by a ridge
 penalty, so the cut at 0.5 is a threshold per language.
 
-Rows: labels come only from rows whose ``crc32(doc_id as text) % 5 != 0``. The fit reads at most
-``fit_rows`` labelled training rows (a documented bound; the smallest hashes of doc_id), whole texts;
-the detector's counts cover every training row; scoring covers every row.
+Rows: labels come only from rows whose ``crc32(doc_id as text) % 5 != 0``. The fit reads every
+labelled training row, whole texts: shards of ``shard_rows`` rows train side by side and are averaged
+after each epoch. The detector's counts cover every training row; scoring covers every row.
 
 Defined cases: a null or empty text is scored from its padding alone (a fixed score); a null doc_id is
 never trained on and has ``held_out`` false; repeated rows are scored each, and labels that repeat a
@@ -26,7 +26,7 @@ running maximum, so memory stays bounded; extra input columns are ignored.
 
 from __future__ import annotations
 
-import pickle
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from expband.llm import shared
+
 TOKENS = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]+"
 
 
@@ -47,8 +49,8 @@ class Config:
     batch: int = 32
     rate: float = 0.05
     seed: int = 7
-    #: Most labelled rows the network is fitted on (the bounded sample); all rows are scored.
-    fit_rows: int = 20_000
+    #: Labelled rows of one shard: a task trains on its shard for one epoch, then shards are averaged.
+    shard_rows: int = 20_000
     #: Buckets of the language detector.
     lang_buckets: int = 1 << 14
     #: Ridge that draws a language's Platt pair towards the pair of all languages.
@@ -204,34 +206,74 @@ class Net:
         return loss
 
 
-def fit_net(cfg: Config, docs: list[np.ndarray], y: np.ndarray) -> Net:
-    """Trains on the given texts (token hashes) and labels, with classes weighted to balance."""
-    net = Net(cfg)
-    docs = [net.ids(d) for d in docs]
-    pos = max(1.0, float(y.sum()))
-    neg = max(1.0, float(len(y) - y.sum()))
-    weight = np.where(y == 1, len(y) / (2 * pos), len(y) / (2 * neg)).astype(np.float32)
-    rng = np.random.default_rng(cfg.seed)
-    acc: dict = {}
-    for _ in range(cfg.epochs):
-        order = rng.permutation(len(docs))
-        for a in range(0, len(order), cfg.batch):
-            b = order[a:a + cfg.batch]
-            net.step([docs[i] for i in b], y[b].astype(np.float32), weight[b] / cfg.batch, acc)
+def epoch(net: Net, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, acc: dict, turn: int) -> None:
+    """One pass of Adagrad over the given texts (ids), in an order of its own."""
+    order = np.random.default_rng((net.cfg.seed, turn)).permutation(len(docs))
+    for a in range(0, len(order), net.cfg.batch):
+        b = order[a:a + net.cfg.batch]
+        net.step([docs[i] for i in b], y[b].astype(np.float32), weight[b] / net.cfg.batch, acc)
+
+
+def _rows(p: np.ndarray, cfg: Config) -> np.ndarray:
+    """Weights of any shape as rows of ``dim`` numbers, the last one filled up with zeros."""
+    return np.pad(p.reshape(-1), (0, -p.size % cfg.dim)).reshape(-1, cfg.dim)
+
+
+def fit_net(cfg: Config, rows: DataFrame) -> Net:
+    """Trains on all ``key, toks, y`` rows, with classes weighted to balance.
+
+    Shards of about ``shard_rows`` rows train side by side for one epoch from the same weights and Adagrad
+    sums; a weight is then averaged over the shards that changed it. One shard is plain Adagrad.
+    """
+    net, acc = Net(cfg), {}
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    total, pos = sum(sizes.values()), max(1, sizes.get(1, 0))
+    if not total:
+        return net
+    neg = max(1, total - sizes.get(1, 0))
+    shards = -(-total // cfg.shard_rows)
+    dealt = rows.select(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).alias("shard"), "key", "toks", "y")
+    for turn in range(cfg.epochs):
+        sent = rows.sparkSession.sparkContext.broadcast((net.p, acc))  # sized by buckets and filters
+
+        def train(pdf: pd.DataFrame) -> pd.DataFrame:
+            before, sums = sent.value
+            mine, own = Net(cfg, {k: v.copy() for k, v in before.items()}), {k: v.copy() for k, v in sums.items()}
+            pdf = pdf.sort_values("key")
+            y = pdf["y"].to_numpy()
+            weight = np.where(y == 1, total / (2 * pos), total / (2 * neg)).astype(np.float32)
+            epoch(mine, [mine.ids(t) for t in pdf["toks"]], y, weight, own, turn)
+            out = []
+            for name in mine.p:
+                now = np.concatenate((_rows(mine.p[name], cfg), _rows(own[name], cfg)), axis=1)
+                changed = np.flatnonzero((_rows(mine.p[name], cfg) != _rows(before[name], cfg)).any(axis=1))
+                out.append(pd.DataFrame({"name": name, "i": changed, "v": list(now[changed])}))
+            return pd.concat(out)
+
+        moved = dealt.groupBy("shard").applyInPandas(train, "name string, i int, v array<float>")
+        mean = F.array(*[F.avg(F.get("v", j)) for j in range(2 * cfg.dim)]).cast("array<float>")
+        for name, part in moved.groupBy("name", "i").agg(mean.alias("v")).toPandas().groupby("name"):
+            at, v = part["i"].to_numpy(), np.stack(part["v"].to_numpy())   # at most one row per row of weights
+            size, shape = net.p[name].size, net.p[name].shape
+            rows_p = _rows(net.p[name], cfg).copy()
+            rows_a = _rows(acc.get(name, np.full(shape, 1e-6, np.float32)), cfg).copy()
+            rows_p[at], rows_a[at] = v[:, :cfg.dim], v[:, cfg.dim:]
+            net.p[name], acc[name] = (x.reshape(-1)[:size].reshape(shape) for x in (rows_p, rows_a))
+        sent.unpersist()
     return net
 
 
 # ----------------------------------------------------------------------------------------- calibration
 
-def platt(z: np.ndarray, y: np.ndarray, prior=(1.0, 0.0), ridge: float = 0.0, steps: int = 50) -> tuple:
-    """Slope and offset of sigmoid(a z + b) by Newton's method, with a ridge towards ``prior``."""
+def platt(z: np.ndarray, y: np.ndarray, prior=(1.0, 0.0), ridge: float = 0.0, steps: int = 50, n=1.0) -> tuple:
+    """Slope and offset of sigmoid(a z + b) by Newton's method, with a ridge towards ``prior``; ``n``: rows of each z."""
     a, b = prior
     if ridge == 0 and (len(y) == 0 or y.min() == y.max()):
         return float(a), float(b)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        r = p - y
-        s = np.maximum(p * (1 - p), 1e-9)
+        r = n * (p - y)
+        s = n * np.maximum(p * (1 - p), 1e-9)
         g = np.array([np.sum(r * z) + ridge * (a - prior[0]), np.sum(r) + ridge * (b - prior[1])])
         h = np.array([[np.sum(s * z * z) + ridge, np.sum(s * z)], [np.sum(s * z), np.sum(s) + ridge]]) + 1e-9 * np.eye(2)
         d = np.linalg.solve(h, g)
@@ -262,63 +304,66 @@ def detect(table: np.ndarray, toks, lang_buckets: int) -> int:
 
 # ------------------------------------------------------------------------------------------------- job
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and toxic label (1 if any label row says so) of labelled documents outside the held-out fifth.
-
-    Only ids travel: labels are reduced to one row per doc_id, kept where a document has that id.
-    """
+def training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic label (1 if any label row says so) of the labels outside the held-out fifth."""
     flags = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("y"))
-    return flags.where(~held_out(F.col("doc_id"))).join(docs.select("doc_id"), "doc_id", "left_semi")
+    return flags.where(~held_out(F.col("doc_id")))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, cfg: Config) -> DataFrame:
-    """k (hash of doc_id), toks, y: one row for each of at most ``fit_rows`` training ids, smallest hashes first.
+def labelled_rows(docs: DataFrame, labels: DataFrame, cfg: Config) -> DataFrame:
+    """key (doc_id), calib (a fifth by hash), toks, y: one row for each training id, written to the shared folder.
 
-    The ids are chosen on narrow rows; their texts are fetched by a broadcast of at most fit_rows ids,
-    and a doc_id that repeats keeps one row (by a partial aggregate, so a hot id costs one row a task).
+    A doc_id that repeats keeps one row (by a partial aggregate, so a hot id costs one row a task); of a token's
+    hash only what both bucket counts need is kept.
     """
-    chosen = (training_rows(docs, labels).withColumn("k", F.xxhash64("doc_id")).orderBy("k", "doc_id")
-              .limit(cfg.fit_rows))
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return hashed(rows).select("k", "toks", "y")
-
-
-def fitted(sample: list[tuple[int, np.ndarray, int]], langs: list[str], table: np.ndarray, cfg: Config) -> dict:
-    """Network on four fifths of the sample (by hash), Platt pairs per detected language on the rest."""
-    calib = np.array([k % 5 == 0 for k, _, _ in sample], bool)
-    y = np.array([v for _, _, v in sample], np.float32)
-    toks = [t for _, t, _ in sample]
-    net = fit_net(cfg, [t for t, c in zip(toks, calib) if not c], y[~calib])
-    if calib.sum() == 0:
-        calib = ~calib
-    z = net.logits(net.features([net.ids(t) for t, c in zip(toks, calib) if c])).astype(np.float64)
-    yc = y[calib].astype(np.float64)
-    found = np.array([detect(table, t, cfg.lang_buckets) for t, c in zip(toks, calib) if c], np.int64)
-    whole = platt(z, yc)
-    pairs = np.array([platt(z[found == g], yc[found == g], whole, cfg.calib_ridge) if (found == g).any() else whole
-                      for g in range(len(langs))], np.float64).reshape(len(langs), 2)
-    return {"net": net.p, "langs": langs, "table": table, "pairs": pairs}
+    rows = docs.join(training_labels(labels), "doc_id").dropDuplicates(["doc_id"])
+    both = math.lcm(cfg.buckets, cfg.lang_buckets)
+    kept = hashed(rows).select(
+        F.col("doc_id").alias("key"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("calib"),
+        F.transform("toks", lambda t: F.pmod(t, F.lit(both)).cast("int")).alias("toks"), "y")
+    return shared.written(shared.long_texts(kept), "toxic")
+
+
+#: Places of a raw logit that calibration keeps, so that equal ones can be counted together.
+PLACES = 3
+
+
+def logit_counts(rows: DataFrame, net: Net, table: np.ndarray, cfg: Config) -> pd.DataFrame:
+    """g (detected language), y, z, n: how many rows have the raw logit z, rounded and within 30; bounded by that."""
+    sent = rows.sparkSession.sparkContext.broadcast((net.p, table))
+
+    def run(batches):
+        params, langs = sent.value
+        net_ = Net(cfg, params)
+        for pdf in batches:
+            toks = [np.asarray(t, np.int64) for t in pdf["toks"]]
+            z = net_.logits(net_.features([net_.ids(t) for t in toks])).astype(np.float64)
+            yield pd.DataFrame({"g": [detect(langs, t, cfg.lang_buckets) for t in toks], "y": pdf["y"],
+                                "z": np.round(np.clip(z, -30, 30), PLACES)})
+
+    return (rows.select("toks", "y").mapInPandas(run, "g int, y int, z double")
+            .groupBy("g", "y", "z").agg(F.count("*").alias("n")).toPandas())
 
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: Config = Config()) -> dict:
-    """The network, the language detector and the Platt pairs, from the training rows.
+    """The network, the language detector and the Platt pairs, from all labelled training rows.
 
-    The bounded sample (``fit_rows``) is trained on in one executor task; the driver gets the model.
+    The network learns from four fifths of them (by hash), the Platt pairs per detected language from the rest.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     langs, table = language_table(hashed(docs.where(~held_out(F.col("doc_id")))), cfg)
-    sent = docs.sparkSession.sparkContext.broadcast((langs, table))
-    sample = sample_rows(docs, labels, cfg).coalesce(1)  # at most fit_rows rows, trained on in one task
-
-    def train(batches):
-        rows = [(int(k), np.asarray(t, np.int64), int(v)) for pdf in batches
-                for k, t, v in zip(pdf["k"], pdf["toks"], pdf["y"])]
-        if rows:
-            yield pd.DataFrame({"model": [pickle.dumps(fitted(rows, *sent.value, cfg))]})
-
-    got = sample.mapInPandas(train, "model binary").collect()  # one row: the model, sized by buckets
-    return pickle.loads(got[0]["model"]) if got else fitted([], langs, table, cfg)
+    rows = labelled_rows(docs, labels, cfg)
+    net = fit_net(cfg, rows.where(~F.col("calib")))
+    calib = logit_counts(rows.where("calib"), net, table, cfg)
+    if not len(calib):
+        calib = logit_counts(rows, net, table, cfg)
+    g, y, z, n = (calib[c].to_numpy() for c in ("g", "y", "z", "n"))
+    y = y.astype(np.float64)
+    whole = platt(z, y, n=n)
+    pairs = np.array([platt(z[g == k], y[g == k], whole, cfg.calib_ridge, n=n[g == k]) if (g == k).any() else whole
+                      for k in range(len(langs))], np.float64).reshape(len(langs), 2)
+    return {"net": net.p, "langs": langs, "table": table, "pairs": pairs}
 
 
 def score(docs: DataFrame, model: dict, cfg: Config = Config()) -> DataFrame:

@@ -70,3 +70,16 @@ def test_held_out_accuracy_beats_majority(spark):
     majority = max(held.toxic.mean(), 1 - held.toxic.mean())
     assert (held.predicted == held.toxic).mean() > majority
     assert ((held.predicted == 1) & (held.toxic == 1)).sum() > 0
+
+
+def test_every_labelled_training_row_is_learned_from(spark):
+    """Shards far smaller than the rows: each row is in one, and their average still beats the majority."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    cfg = toxicity_cnn.Config(shard_rows=80)
+    rows = toxicity_cnn.labelled_rows(docs, labels, cfg)
+    lab = pd.read_parquet(f"{sf}/labels.parquet")
+    ids = {int(i) for i in lab.doc_id if zlib.crc32(str(i).encode()) % 5}
+    assert {r.key for r in rows.select("key").collect()} == ids & {r[0] for r in docs.select("doc_id").collect()}
+    got = toxicity_cnn.score(docs, toxicity_cnn.fit(docs, labels, cfg), cfg).toPandas().merge(lab, on="doc_id")
+    assert (got.predicted == got.toxic).mean() > max(got.toxic.mean(), 1 - got.toxic.mean())
