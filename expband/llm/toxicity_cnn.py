@@ -226,6 +226,7 @@ def fit_net(cfg: Config, rows: DataFrame) -> Net:
     sums; a weight is then averaged over the shards that changed it. One shard is plain Adagrad.
     """
     net, acc = Net(cfg), {}
+    names = sorted(net.p)
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     total, pos = sum(sizes.values()), max(1, sizes.get(1, 0))
     if not total:
@@ -244,22 +245,27 @@ def fit_net(cfg: Config, rows: DataFrame) -> Net:
             weight = np.where(y == 1, total / (2 * pos), total / (2 * neg)).astype(np.float32)
             epoch(mine, [mine.ids(t) for t in pdf["toks"]], y, weight, own, turn)
             out = []
-            for name in mine.p:
+            for k, name in enumerate(names):
                 now = np.concatenate((_rows(mine.p[name], cfg), _rows(own[name], cfg)), axis=1)
                 changed = np.flatnonzero((_rows(mine.p[name], cfg) != _rows(before[name], cfg)).any(axis=1))
-                out.append(pd.DataFrame({"name": name, "i": changed, "v": list(now[changed])}))
+                out.append(pd.DataFrame({"k": k, "i": changed, "v": list(now[changed])}))
             return pd.concat(out)
 
-        moved = dealt.groupBy("shard").applyInPandas(train, "name string, i int, v array<float>")
+        moved = dealt.groupBy("shard").applyInPandas(train, "k int, i int, v array<float>")
         mean = F.array(*[F.avg(F.get("v", j)) for j in range(2 * cfg.dim)]).cast("array<float>")
-        for name, part in moved.groupBy("name", "i").agg(mean.alias("v")).toPandas().groupby("name"):
-            at, v = part["i"].to_numpy(), np.stack(part["v"].to_numpy())   # at most one row per row of weights
+        got = moved.groupBy("k", "i").agg(mean.alias("v")).toArrow()   # at most one row per row of weights
+        if not got.num_rows:
+            continue
+        of, places = got["k"].to_numpy(), got["i"].to_numpy()
+        values = got["v"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * cfg.dim)
+        for k, name in enumerate(names):
+            at, v = places[of == k], values[of == k]
             size, shape = net.p[name].size, net.p[name].shape
             rows_p = _rows(net.p[name], cfg).copy()
             rows_a = _rows(acc.get(name, np.full(shape, 1e-6, np.float32)), cfg).copy()
             rows_p[at], rows_a[at] = v[:, :cfg.dim], v[:, cfg.dim:]
             net.p[name], acc[name] = (x.reshape(-1)[:size].reshape(shape) for x in (rows_p, rows_a))
-        sent.unpersist()
+        sent.destroy()
     return net
 
 
@@ -343,7 +349,7 @@ def logit_counts(rows: DataFrame, net: Net, table: np.ndarray, cfg: Config) -> p
                                 "z": np.round(np.clip(z, -30, 30), PLACES)})
 
     return (rows.select("toks", "y").mapInPandas(run, "g int, y int, z double")
-            .groupBy("g", "y", "z").agg(F.count("*").alias("n")).toPandas())
+            .groupBy("g", "y", "z").agg(F.count("*").alias("n")).toArrow().to_pandas())
 
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: Config = Config()) -> dict:
