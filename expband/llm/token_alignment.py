@@ -34,11 +34,14 @@ texts are aligned whole; extra columns are dropped; an empty table gives no rows
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +49,8 @@ from pyspark.sql.window import Window
 from expband.llm import shared
 
 B_IDS = 32768  # B ids are below 2**15, so a pair is a * 32768 + b
+#: Characters of the texts that are aligned as one sequence; a longer text is one by itself.
+SLICE_CHARS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -122,6 +127,11 @@ class Aligner:
         self.b_off = np.cumsum(self.b_len) - self.b_len
         self.a_dec = np.array([str(i) for i in range(len(self.a_bytes))], object)
         self.b_dec = np.array([str(i) for i in range(len(self.b_bytes))], object)
+        # decimal ids, each with room for its separator, in one buffer; the same for both vocabularies
+        dec = [b"%d," % i for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.dec_flat = np.frombuffer(b"".join(dec), np.uint8)
+        self.dec_len = np.array([len(x) for x in dec], np.int64)
+        self.dec_off = np.cumsum(self.dec_len) - self.dec_len
 
     @staticmethod
     def of(files) -> "Aligner":
@@ -151,6 +161,43 @@ class Aligner:
         _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
         return a, b, ia, ib
 
+    def align_all(self, texts: list[str | None]) -> Iterator["Aligned"]:
+        """``align`` of every text, in slices of about ``SLICE_CHARS`` characters worked on as one sequence."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= SLICE_CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            yield self._align_slice(texts[at:end])
+            at = end
+
+    def _align_slice(self, texts: list[str | None]) -> "Aligned":
+        row = [i for i, t in enumerate(texts) if t]
+        raw = [(" " + texts[i]).encode("utf-8") for i in row]
+        a_ids = [self.a.encode_ordinary(" " + texts[i]) for i in row]
+        b_ids = self.b.encode([texts[i] for i in row], num_threads=1) if row else []
+        size, na, nb = (np.array([len(x) for x in part], np.int64) for part in (raw, a_ids, b_ids))
+        a, b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum()))
+                for ids, n in ((a_ids, na), (b_ids, nb)))
+        # texts without tokens, or whose tokens' bytes are not as many as theirs, then those with other bytes
+        good = (na > 0) & (nb > 0) & (_sums(self.a_len[a], na) == size) & (_sums(self.b_len[b], nb) == size)
+        for again in (True, False):
+            if not good.all():
+                a, b = a[np.repeat(good, na)], b[np.repeat(good, nb)]
+                row, raw = [r for r, g in zip(row, good) if g], [x for x, g in zip(raw, good) if g]
+                size, na, nb = size[good], na[good], nb[good]
+            la, lb = self.a_len[a], self.b_len[b]
+            ea, eb = np.cumsum(la), np.cumsum(lb)
+            if again:
+                whole = np.frombuffer(b"".join(raw), np.uint8)
+                good = _sums((_gathered(self.a_flat, self.a_off[a], la, ea) != whole)
+                             | (_gathered(self.b_flat, self.b_off[b], lb, eb) != whole), size) == 0
+        ends = np.zeros(int(size.sum()) + 1, np.uint8)
+        ends[ea] = 1
+        ends[eb] += 2
+        return Aligned(self, len(texts), np.array(row, np.int64), a, b, na, nb, ends[ea] == 3, ends[eb] == 3)
+
     def groups_text(self, a, b, ia, ib) -> str:
         """``a1,a2|b1;a3|b2,b3``: per group its A ids, then its B ids, in order."""
         ka = np.searchsorted(ia, np.arange(len(a))) * 2
@@ -165,10 +212,73 @@ class Aligner:
         return "".join(out.tolist())[:-1]
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, ends: np.ndarray) -> bytes:
+def _gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The bytes of a token sequence: ``flat[starts[k]:starts[k] + lens[k]]`` joined over ``k``."""
-    pos = np.arange(ends[-1]) + np.repeat(starts - (ends - lens), lens)
-    return flat[pos].tobytes()
+    pos = np.repeat(starts - (ends - lens), lens)
+    pos += np.arange(len(pos))
+    return flat[pos]
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, ends: np.ndarray) -> bytes:
+    return _gathered(flat, starts, lens, ends).tobytes()
+
+
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of consecutive parts of ``n`` values; a part may be empty."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    ends = np.cumsum(n)
+    return total[ends] - total[ends - n]
+
+
+@dataclass
+class Aligned:
+    """Texts aligned as one sequence. Every text with tokens ends with a link, so groups never cross texts."""
+
+    al: Aligner
+    texts: int
+    row: np.ndarray         #: which texts have tokens, in order
+    a: np.ndarray
+    b: np.ndarray
+    na: np.ndarray          #: A tokens of each text with tokens
+    nb: np.ndarray
+    a_last: np.ndarray      #: by token: it ends where a token of the other side ends
+    b_last: np.ndarray
+
+    @property
+    def links(self) -> np.ndarray:
+        """How many links each text with tokens has."""
+        return _sums(self.a_last, self.na)
+
+    def keys(self) -> np.ndarray:
+        return self.a[self.a_last] * B_IDS + self.b[self.b_last]
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values of the texts with tokens as those of all texts, 0 for the others."""
+        out = np.zeros(self.texts, np.int64)
+        out[self.row] = values
+        return out
+
+    def digests(self) -> list[str]:
+        """SHA-256 of each text's ``groups_text``; '' without tokens."""
+        out = [""] * self.texts
+        if not len(self.row):
+            return out
+        al, a_end, b_end = self.al, np.flatnonzero(self.a_last) + 1, np.flatnonzero(self.b_last) + 1
+        # places in the merged order: a group's A tokens stand after the B tokens of the groups before it
+        at_a = np.arange(len(self.a)) + np.concatenate(([0], b_end))[np.cumsum(self.a_last) - self.a_last]
+        at_b = np.arange(len(self.b)) + a_end[np.cumsum(self.b_last) - self.b_last]
+        ids = np.empty(len(self.a) + len(self.b), np.int64)
+        ids[at_a], ids[at_b] = self.a, self.b
+        lens = al.dec_len[ids]
+        ends = np.cumsum(lens)
+        text = _gathered(al.dec_flat, al.dec_off[ids], lens, ends)
+        text[ends[at_a[self.a_last]] - 1] = ord("|")
+        text[ends[at_b[self.b_last]] - 1] = ord(";")
+        stop = ends[np.cumsum(self.na + self.nb) - 1]
+        view = memoryview(text)
+        for r, start, end in zip(self.row.tolist(), [0, *stop[:-1].tolist()], stop.tolist()):
+            out[r] = hashlib.sha256(view[start:end - 1]).hexdigest()
+        return out
 
 
 # ------------------------------------------------------------------------------------ perfect hash
@@ -258,6 +368,26 @@ class Hash:
         return np.where(self.keys[i] == keys, i, -1)
 
 
+class Recent:
+    """A hash's answers by key, one remembered per place; frequent pairs skip its three mixes and divisions."""
+
+    BITS = 18
+
+    def __init__(self, table: Hash):
+        self.table = table
+        self.keys, self.at = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS, np.int64)
+
+    def index(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            place = ((keys.astype(np.uint64) * M1) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = self.at[place]
+        new = np.flatnonzero(self.keys[place] != keys)
+        if len(new):
+            out[new] = self.table.index(keys[new])
+            self.keys[place[new]], self.at[place[new]] = keys[new], out[new]
+        return out
+
+
 # ------------------------------------------------------------------------------------------------- job
 
 def _docs(docs: DataFrame) -> DataFrame:
@@ -272,15 +402,10 @@ def link_pairs(docs: DataFrame, files) -> DataFrame:
     def run(batches):
         al = Aligner.of(sent.value)
         for pdf in batches:
-            keys = []
-            for text in pdf["text"]:
-                got = al.align(text)
-                if got is not None:
-                    a, b, ia, ib = got
-                    keys.append(a[ia] * B_IDS + b[ib])
+            keys = [part.keys() for part in al.align_all(pdf["text"].tolist())]
             if keys:
-                k, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pd.DataFrame({"key": k, "n": n.astype(np.int64)})
+                k, n = pa.array(np.concatenate(keys)).value_counts().flatten()
+                yield pd.DataFrame({"key": k.to_numpy(), "n": n.to_numpy()})
 
     return shared.written(shared.long_texts(docs).mapInPandas(run, "key long, n long"), "pairs")
 
@@ -331,15 +456,19 @@ def dense_counts(pairs: DataFrame, h: Hash) -> tuple[np.ndarray, np.ndarray]:
     return counts, counts == best[h.keys % B_IDS]
 
 
-def _result(doc_id, got, counts_of, al: Aligner) -> dict:
-    if got is None:
-        return {"doc_id": doc_id, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "n_best": 0, "count_sum": 0,
-                "groups_sha256": ""}
-    a, b, ia, ib = got
-    n, best = counts_of(a[ia] * B_IDS + b[ib])
-    return {"doc_id": doc_id, "n_a": len(a), "n_b": len(b), "n_groups": len(ia), "n_links": len(ia),
-            "n_best": int(best), "count_sum": int(n),
-            "groups_sha256": hashlib.sha256(al.groups_text(a, b, ia, ib).encode()).hexdigest()}
+def _results(parts: Iterator[Aligned], counts_of) -> dict:
+    """The result columns but doc_id; ``counts_of`` gives a key's count and whether it is its B id's highest."""
+    cols: dict[str, list] = {c: [] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}
+    digests: list[str] = []
+    for p in parts:
+        count, best = counts_of(p.keys())
+        links = p.links
+        for name, values in (("n_a", p.na), ("n_b", p.nb), ("n_groups", links), ("n_links", links),
+                             ("n_best", _sums(best, links)), ("count_sum", _sums(count, links))):
+            cols[name].append(p.spread(values))
+        digests += p.digests()
+    none = [np.zeros(0, np.int64)]
+    return {c: np.concatenate(v or none) for c, v in cols.items()} | {"groups_sha256": digests}
 
 
 SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
@@ -352,15 +481,14 @@ def realigned(docs: DataFrame, files, h: Hash, counts: np.ndarray, best: np.ndar
 
     def run(batches):
         files_, table, cnt, flag = sent.value
-        al = Aligner.of(files_)
+        al, recent = Aligner.of(files_), Recent(table)
 
         def counts_of(keys):
-            i = table.index(keys)
-            return cnt[i].sum(), flag[i].sum()
+            i = recent.index(keys)
+            return cnt[i], flag[i]
 
         for pdf in batches:
-            yield pd.DataFrame([_result(d, al.align(t), counts_of, al) for d, t in zip(pdf["doc_id"], pdf["text"])],
-                               columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], **_results(al.align_all(pdf["text"].tolist()), counts_of)})
 
     return shared.long_texts(docs).mapInPandas(run, SCHEMA)
 
@@ -375,14 +503,10 @@ def realigned_by_join(docs: DataFrame, files, pairs: DataFrame) -> DataFrame:
     def run(batches):
         al = Aligner.of(sent.value)
         for pdf in batches:
-            out = []
-            for d, t, r in zip(pdf["doc_id"], pdf["text"], pdf["row"]):
-                got = al.align(t)
-                row = _result(d, got, lambda keys: (0, 0), al)
-                row["row"] = int(r)
-                row["keys"] = (got[0][got[2]] * B_IDS + got[1][got[3]]).tolist() if got else []
-                out.append(row)
-            yield pd.DataFrame(out)
+            parts = list(al.align_all(pdf["text"].tolist()))
+            keys = [k for p in parts for k in np.split(p.keys(), np.cumsum(p.spread(p.links))[:-1])]
+            none = lambda keys: (np.zeros(len(keys), np.int64),) * 2
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], **_results(parts, none), "row": pdf["row"], "keys": keys})
 
     rows = shared.written(shared.long_texts(docs.withColumn("row", F.monotonically_increasing_id())).mapInPandas(
         run, SCHEMA + ", row long, keys array<long>"), "links")

@@ -16,6 +16,9 @@ def test_perfect_hash_is_a_bijection_and_verifies():
     h = ta.Hash([(p, *ta.build_part(keys[parts == p], 0.85)) for p in range(3)], 3)
     idx = h.index(keys)
     assert sorted(idx.tolist()) == list(range(len(keys)))
+    recent = ta.Recent(h)
+    for some in (rng.choice(keys, 9000), keys, rng.choice(keys, 9000)):
+        assert (recent.index(some) == h.index(some)).all()
     others = np.setdiff1d(rng.integers(0, 1 << 31, 5000), keys)
     assert (h.index(others) == -1).all()
     assert (ta.Hash([], 1).index(keys[:3]) == -1).all()
@@ -113,3 +116,29 @@ def test_alignment_on_table_equals_plain_python(spark, sf):
 
 def test_empty_table(spark):
     assert ta.alignment(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_aligned_as_one_sequence_equal_each_alone(monkeypatch):
+    """Slices of texts, some without tokens or with other bytes, give what ``align`` gives text by text."""
+    al = ta.Aligner.of(ta.tokenizer_files(ta.Config()))
+    texts = TEXTS + ["x", "odd one", None, "wrong bytes", "", "12 34,5|6;7"]
+    real = al.b.encode
+
+    class Other:  # a tokenizer whose tokens of some texts are others: fewer bytes, as many but different ones, none
+        def encode(self, text, **kw):
+            if isinstance(text, list):
+                return [self.encode(t) for t in text]
+            return {"odd one": real("odd"), "wrong bytes": real("wrong bytez"), "x": []}.get(text, real(text))
+
+    monkeypatch.setattr(al, "b", Other())
+    alone = [al.align(t) for t in texts]
+    assert sum(g is None for g in alone) == 7
+    for size in (1, 40, 1 << 17):
+        monkeypatch.setattr(ta, "SLICE_CHARS", size)
+        parts = list(al.align_all(texts))
+        keys = np.concatenate([p.keys() for p in parts])
+        assert keys.tolist() == [int(k) for g in alone if g for k in g[0][g[2]] * ta.B_IDS + g[1][g[3]]]
+        for values, at in ((lambda p: p.na, 0), (lambda p: p.nb, 1), (lambda p: p.links, 2)):
+            assert np.concatenate([p.spread(values(p)) for p in parts]).tolist() == [len(g[at]) if g else 0 for g in alone]
+        assert [d for p in parts for d in p.digests()] == [
+            hashlib.sha256(al.groups_text(*g).encode()).hexdigest() if g else "" for g in alone]
