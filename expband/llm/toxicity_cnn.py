@@ -16,7 +16,8 @@ penalty, so the cut at 0.5 is a threshold per language.
 
 Rows: labels come only from rows whose ``crc32(doc_id as text) % 5 != 0``. The fit reads every
 labelled training row, whole texts: shards of ``shard_rows`` rows train side by side and are averaged
-after each epoch. The detector's counts cover every training row; scoring covers every row.
+after each epoch. Tokens are packed before their first shuffle and dealt to the shards once, not once an
+epoch; a task adds up the weights of its shards before they are sent. The detector's counts cover every training row; scoring covers every row.
 
 Defined cases: a null or empty text is scored from its padding alone (a fixed score); a null doc_id is
 never trained on and has ``held_out`` false; repeated rows are scored each, and labels that repeat a
@@ -27,10 +28,14 @@ running maximum, so memory stays bounded; extra input columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +70,43 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("toks", F.transform(F.regexp_extract_all(text, F.lit(TOKENS), 0), lambda w: F.xxhash64(w)))
 
 
+def _bits(cfg: Config) -> int:
+    """Bits of a token's hash that both bucket counts need."""
+    return (math.lcm(cfg.buckets, cfg.lang_buckets) - 1).bit_length()
+
+
+def pack(toks: np.ndarray, bits: int) -> bytes:
+    """Numbers below ``2 ** bits`` as two-byte words and planes of the bits above, compressed."""
+    planes = [np.packbits((toks >> k & 1).astype(np.uint8)) for k in range(16, bits)]
+    parts = [np.array([len(toks)], "<i8"), (toks & 0xFFFF).astype("<u2"), *planes]
+    return zlib.compress(b"".join(x.tobytes() for x in parts), 1)
+
+
+def unpack(data: bytes, bits: int) -> np.ndarray:
+    raw = zlib.decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    toks, at, size = np.frombuffer(raw, "<u2", n, 8).astype(np.int64), 8 + 2 * n, -(-n // 8)
+    for k in range(16, bits):
+        toks |= np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n).astype(np.int64) << k
+        at += size
+    return toks
+
+
+def packed(rows: DataFrame, cfg: Config) -> DataFrame:
+    """``doc_id, toks`` with the hashes reduced to both bucket counts and packed: under a quarter of the bytes."""
+    both, bits = math.lcm(cfg.buckets, cfg.lang_buckets), _bits(cfg)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = batch.column("toks")
+            values, at = toks.values.to_numpy() % both, toks.offsets.to_pylist()
+            out = [pack(values[a:b], bits) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())],
+                                             names=["doc_id", "toks"])
+
+    return shared.long_texts(rows.select("doc_id", "toks")).mapInArrow(run, "doc_id long, toks binary")
+
+
 def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
@@ -100,68 +142,66 @@ class Net:
             seq[s:s + len(d)] = d
         return seq, starts, lengths
 
-    def _conv(self, emb: np.ndarray, w: int) -> np.ndarray:
-        t = emb.shape[0] - max(self.cfg.widths)
-        out = np.broadcast_to(self.p[f"b{w}"], (t, self.cfg.filters)).copy()
-        for k in range(w):
-            out += emb[k:k + t] @ self.p[f"w{w}"][k]
-        return np.maximum(out, 0)
+    def _taps(self) -> list[tuple[int, np.ndarray]]:
+        """Per place in a window: the first filter that reaches it, and the weights there of it and all after."""
+        widths, f = self.cfg.widths, self.cfg.filters
+        if list(widths) != sorted(widths):
+            raise ValueError("widths must ascend")
+        reach = [[i for i, w in enumerate(widths) if w > k] for k in range(max(widths))]
+        return [(of[0] * f, np.concatenate([self.p[f"w{widths[i]}"][k].T for i in of])) for k, of in enumerate(reach)]
+
+    def _top(self, doc: np.ndarray, taps: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's largest value over a text, before bias and ReLU, and the first window start that has it.
+
+        Filters are rows, so both run along the text; long texts go block by block with a running maximum.
+        """
+        pad, block, f = max(self.cfg.widths), self.cfg.block, self.cfg.filters
+        n = len(doc) + pad
+        seq = np.concatenate([doc, np.zeros(2 * pad, np.int64)])
+        best, arg = np.full(f * len(self.cfg.widths), -np.inf, taps[0][1].dtype), np.zeros(f * len(self.cfg.widths), np.int64)
+        for a in range(0, n, block):
+            m = min(block, n - a)
+            emb = self.p["emb"][seq[a:a + m + pad]].T
+            h = taps[0][1] @ emb[:, :m]
+            for k, (first, w) in enumerate(taps[1:], 1):
+                h[first:] += w @ emb[:, k:k + m]
+            for i, w in enumerate(self.cfg.widths):
+                stop = min(m, n - w + 1 - a)
+                if stop <= 0:
+                    continue
+                part, own = h[i * f:(i + 1) * f, :stop], slice(i * f, (i + 1) * f)
+                at = part.argmax(axis=1)
+                top = part[np.arange(f), at]
+                more = top > best[own]
+                best[own] = np.where(more, top, best[own])
+                arg[own] = np.where(more, a + at, arg[own])
+        return best, arg
+
+    def _bias(self) -> np.ndarray:
+        return np.concatenate([self.p[f"b{w}"] for w in self.cfg.widths])
 
     def pooled(self, docs: list[np.ndarray], with_args: bool = False):
         """Max-pooled features of each text (and the arg-max position of each filter, for the gradient)."""
-        seq, starts, lengths = self._layout(docs)
-        emb = self.p["emb"][seq]
-        t = len(seq) - max(self.cfg.widths)
-        seg = np.repeat(np.arange(len(docs)), lengths)
-        offset = np.arange(t) - starts[seg]
-        feats, args = [], []
-        for w in self.cfg.widths:
-            h = self._conv(emb, w)
-            valid = offset <= lengths[seg] - w
-            h = np.where(valid[:, None], h, -1.0)
-            top = np.maximum.reduceat(h, starts, axis=0)
-            feats.append(top)
-            if with_args:
-                hit = (h == top[seg]) & valid[:, None]
-                back = np.where(hit, (t - np.arange(t))[:, None], 0)
-                args.append(t - np.maximum.reduceat(back, starts, axis=0))
-        return np.concatenate(feats, axis=1), seq, args
+        taps, f = self._taps(), self.cfg.filters
+        found = [self._top(d, taps) for d in docs]
+        feats = np.maximum(np.stack([top for top, _ in found]) + self._bias(), 0)
+        if not with_args:
+            return feats, None, []
+        seq, starts, _ = self._layout(docs)
+        args = np.stack([at for _, at in found]) + starts[:, None]
+        return feats, seq, [args[:, i * f:(i + 1) * f] for i in range(len(self.cfg.widths))]
 
     def logits(self, feats: np.ndarray) -> np.ndarray:
         return feats @ self.p["u"] + self.p["c"][0]
 
     def pooled_long(self, doc: np.ndarray) -> np.ndarray:
-        """Pooled features of one long text, block by block of window starts with a running maximum."""
-        pad, block = max(self.cfg.widths), self.cfg.block
-        n = len(doc) + pad
-        seq = np.concatenate([doc, np.zeros(2 * pad, np.int64)])
-        best = np.full((len(self.cfg.widths), self.cfg.filters), -1.0, np.float32)
-        for a in range(0, n, block):
-            m = min(block, n - a)
-            part = self.p["emb"][seq[a:a + m + pad]]
-            for i, w in enumerate(self.cfg.widths):
-                h = self._conv(part, w)
-                valid = a + np.arange(m) <= n - w
-                if valid.any():
-                    best[i] = np.maximum(best[i], h[valid].max(axis=0))
-        return best.reshape(-1)
+        """Pooled features of one text."""
+        return np.maximum(self._top(doc, self._taps())[0] + self._bias(), 0)
 
     def features(self, docs: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(docs), self.cfg.filters * len(self.cfg.widths)), np.float32)
-        short, idx, total = [], [], 0
-        for i, d in enumerate(docs):
-            if len(d) > self.cfg.block:
-                out[i] = self.pooled_long(d)
-                continue
-            short.append(d)
-            idx.append(i)
-            total += len(d)
-            if total > self.cfg.block:
-                out[idx] = self.pooled(short)[0]
-                short, idx, total = [], [], 0
-        if short:
-            out[idx] = self.pooled(short)[0]
-        return out
+        if not docs:
+            return np.zeros((0, self.cfg.filters * len(self.cfg.widths)), np.float32)
+        return self.pooled(docs)[0]
 
     def gradients(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray):
         """Weighted log loss of a batch, gradients of the dense weights, embedding rows and their gradients."""
@@ -219,8 +259,21 @@ def _rows(p: np.ndarray, cfg: Config) -> np.ndarray:
     return np.pad(p.reshape(-1), (0, -p.size % cfg.dim)).reshape(-1, cfg.dim)
 
 
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """The rows with their ``shard``, moved to its task once and kept there on disk for all epochs.
+
+    Tasks with rows are at most as many as cores, so the weights that leave them are bounded by the cluster and
+    not by the table: a task's shards are added up by the partial aggregate behind them. A few shards get finer
+    ranges, so that no two share a task.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = cores if shards > cores else 4 * shards
+    shard = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).alias("shard")
+    return rows.select(shard, "key", "toks", "y").repartitionByRange(tasks, "shard").persist(StorageLevel.DISK_ONLY)
+
+
 def fit_net(cfg: Config, rows: DataFrame) -> Net:
-    """Trains on all ``key, toks, y`` rows, with classes weighted to balance.
+    """Trains on all ``key, toks (packed), y`` rows, with classes weighted to balance.
 
     Shards of about ``shard_rows`` rows train side by side for one epoch from the same weights and Adagrad
     sums; a weight is then averaged over the shards that changed it. One shard is plain Adagrad.
@@ -233,7 +286,7 @@ def fit_net(cfg: Config, rows: DataFrame) -> Net:
         return net
     neg = max(1, total - sizes.get(1, 0))
     shards = -(-total // cfg.shard_rows)
-    dealt = rows.select(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).alias("shard"), "key", "toks", "y")
+    mine_only, bits = dealt(rows, shards), _bits(cfg)
     for turn in range(cfg.epochs):
         sent = rows.sparkSession.sparkContext.broadcast((net.p, acc))  # sized by buckets and filters
 
@@ -243,7 +296,7 @@ def fit_net(cfg: Config, rows: DataFrame) -> Net:
             pdf = pdf.sort_values("key")
             y = pdf["y"].to_numpy()
             weight = np.where(y == 1, total / (2 * pos), total / (2 * neg)).astype(np.float32)
-            epoch(mine, [mine.ids(t) for t in pdf["toks"]], y, weight, own, turn)
+            epoch(mine, [mine.ids(unpack(t, bits)) for t in pdf["toks"]], y, weight, own, turn)
             out = []
             for k, name in enumerate(names):
                 now = np.concatenate((_rows(mine.p[name], cfg), _rows(own[name], cfg)), axis=1)
@@ -251,7 +304,7 @@ def fit_net(cfg: Config, rows: DataFrame) -> Net:
                 out.append(pd.DataFrame({"k": k, "i": changed, "v": list(now[changed])}))
             return pd.concat(out)
 
-        moved = dealt.groupBy("shard").applyInPandas(train, "k int, i int, v array<float>")
+        moved = mine_only.groupBy("shard").applyInPandas(train, "k int, i int, v array<float>")
         mean = F.array(*[F.avg(F.get("v", j)) for j in range(2 * cfg.dim)]).cast("array<float>")
         got = moved.groupBy("k", "i").agg(mean.alias("v")).toArrow()   # at most one row per row of weights
         if not got.num_rows:
@@ -266,6 +319,7 @@ def fit_net(cfg: Config, rows: DataFrame) -> Net:
             rows_p[at], rows_a[at] = v[:, :cfg.dim], v[:, cfg.dim:]
             net.p[name], acc[name] = (x.reshape(-1)[:size].reshape(shape) for x in (rows_p, rows_a))
         sent.destroy()
+    mine_only.unpersist()
     return net
 
 
@@ -318,17 +372,20 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, cfg: Config) -> DataFrame:
-    """key (doc_id), calib (a fifth by hash), toks, y: one row for each training id, written to the shared folder.
+    """key (doc_id), calib (a fifth by hash), toks (packed), y: one row for each training id, written to the shared folder.
 
-    A doc_id that repeats keeps one row (by a partial aggregate, so a hot id costs one row a task); of a token's
-    hash only what both bucket counts need is kept.
+    Only packed tokens are shuffled, never texts. Up to ``shared.BROADCAST_KEYS`` labelled ids are sent to the
+    texts first, so that others are not packed. A doc_id that repeats keeps one row (by a partial aggregate, so
+    a hot id costs one row a task).
     """
-    rows = docs.join(training_labels(labels), "doc_id").dropDuplicates(["doc_id"])
-    both = math.lcm(cfg.buckets, cfg.lang_buckets)
-    kept = hashed(rows).select(
-        F.col("doc_id").alias("key"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("calib"),
-        F.transform("toks", lambda t: F.pmod(t, F.lit(both)).cast("int")).alias("toks"), "y")
-    return shared.written(shared.long_texts(kept), "toxic")
+    flags = shared.written(training_labels(labels), "flags")
+    texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
+    if flags.count() <= shared.BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(flags.select("doc_id")), "doc_id", "left_semi")
+    rows = packed(hashed(texts), cfg).join(flags, "doc_id").dropDuplicates(["doc_id"])
+    kept = rows.select(F.col("doc_id").alias("key"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("calib"),
+                       "toks", "y")
+    return shared.written(kept, "toxic")
 
 
 #: Places of a raw logit that calibration keeps, so that equal ones can be counted together.
@@ -337,13 +394,13 @@ PLACES = 3
 
 def logit_counts(rows: DataFrame, net: Net, table: np.ndarray, cfg: Config) -> pd.DataFrame:
     """g (detected language), y, z, n: how many rows have the raw logit z, rounded and within 30; bounded by that."""
-    sent = rows.sparkSession.sparkContext.broadcast((net.p, table))
+    sent, bits = rows.sparkSession.sparkContext.broadcast((net.p, table)), _bits(cfg)
 
     def run(batches):
         params, langs = sent.value
         net_ = Net(cfg, params)
         for pdf in batches:
-            toks = [np.asarray(t, np.int64) for t in pdf["toks"]]
+            toks = [unpack(t, bits) for t in pdf["toks"]]
             z = net_.logits(net_.features([net_.ids(t) for t in toks])).astype(np.float64)
             yield pd.DataFrame({"g": [detect(langs, t, cfg.lang_buckets) for t in toks], "y": pdf["y"],
                                 "z": np.round(np.clip(z, -30, 30), PLACES)})

@@ -83,3 +83,37 @@ def test_every_labelled_training_row_is_learned_from(spark):
     assert {r.key for r in rows.select("key").collect()} == ids & {r[0] for r in docs.select("doc_id").collect()}
     got = toxicity_cnn.score(docs, toxicity_cnn.fit(docs, labels, cfg), cfg).toPandas().merge(lab, on="doc_id")
     assert (got.predicted == got.toxic).mean() > max(got.toxic.mean(), 1 - got.toxic.mean())
+
+
+def test_packed_tokens_are_small_and_come_back():
+    rng = np.random.default_rng(4)
+    for bits in (14, 16, 17, 20):
+        for n in (0, 1, 7, 8, 9, 700):
+            toks = rng.integers(0, 1 << bits, n)
+            assert (toxicity_cnn.unpack(toxicity_cnn.pack(toks, bits), bits) == toks).all()
+    assert len(toxicity_cnn.pack(rng.integers(0, 1 << 17, 10_000), 17)) < 0.6 * 4 * 10_000
+
+
+def test_shards_are_dealt_once(spark):
+    """Each shard lies in one task; an epoch reads it there and shuffles no rows."""
+    rows = spark.createDataFrame([(i, bytes(8), i % 2) for i in range(4000)], "key long, toks binary, y int")
+    kept = toxicity_cnn.dealt(rows, 9)
+    assert kept.count() == 4000
+    by_task = kept.select("shard").rdd.glom().map(lambda rs: {r[0] for r in rs}).collect()
+    assert len(by_task) <= spark.sparkContext.defaultParallelism
+    assert sorted(x for task in by_task for x in task) == list(range(9))
+    few = toxicity_cnn.dealt(rows, 3)
+    assert sorted(len(x) for x in few.select("shard").rdd.glom().map(lambda rs: {r[0] for r in rs}).collect() if x) == [1] * 3
+    per_shard = kept.groupBy("shard").applyInPandas(lambda pdf: pdf[["shard"]].head(1), "shard long")
+    plan = per_shard._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryTableScan")[0]
+    kept.unpersist()
+
+
+def test_shuffled_labels_give_the_same_rows(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.unionByName(docs.limit(20))
+    want = sorted(map(tuple, toxicity_cnn.labelled_rows(docs, labels, SMALL).collect()))
+    monkeypatch.setattr(toxicity_cnn.shared, "BROADCAST_KEYS", 0)
+    assert sorted(map(tuple, toxicity_cnn.labelled_rows(docs, labels, SMALL).collect())) == want and want
