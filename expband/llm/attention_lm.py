@@ -28,8 +28,10 @@ stay as they begin. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,8 @@ class Model:
 
 #: Words whose ids a Python worker remembers besides the frequent ones.
 REMEMBERED = 300_000
+#: Bytes of ids that are worked on at a time.
+ID_BYTES = 3 << 19
 #: Windows scored at a time; their arrays fit a core's cache.
 BATCH_WINDOWS = 512
 
@@ -87,13 +91,12 @@ def prepared(docs: DataFrame, model: Model) -> DataFrame:
                        (F.crc32(name) % model.fold != 0).alias("train"))
 
 
-def _parts(batches: Iterator[pa.RecordBatch],
-           hashed: bool = True) -> Iterator[tuple[pa.RecordBatch, blocks.Words, np.ndarray | None]]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, blocks.Words, np.ndarray]]:
     with np.errstate(over="ignore"):
         for batch in batches:
             for part in blocks.slices(batch, "text", 1 << 21):
                 words = blocks.Words(part.column("text"), lower=True)
-                yield part, words, words.hashes() if hashed else None
+                yield part, words, words.hashes()
 
 
 def frequent_words(rows: DataFrame, model: Model) -> list[str]:
@@ -218,21 +221,74 @@ class Subwords:
         return out, offsets, np.where(hit, listed, -1)[back]
 
 
-def count(rows: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Each row's values as bytes; offsets are those of rows + 1."""
+    ends = (offsets * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The joined values of a column of ``_packed``, and the rows + 1 offsets."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    ends = np.frombuffer(at, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[ends[0]:ends[-1]].view(kind), (ends - ends[0]) // np.dtype(kind).itemsize
+
+
+def _id_kind(tables: Tables) -> type:
+    return np.uint16 if len(tables.symbol) <= 1 << 16 else np.uint32
+
+
+def encoded(rows: DataFrame, tables: Tables) -> DataFrame:
+    """Every whole text cut once, written for all later steps: doc_id, text_mark, train, and as bytes its
+    ids, its words' places in the list of frequent words (or -1), and the hash and number of each other word."""
+    kind = _id_kind(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = Subwords(tables)
+        for part, words, hashes in _parts(batches):
+            ids, offsets, listed = subwords.of(words, hashes)
+            key, row = hashes[listed < 0], words.row[listed < 0]
+            order = np.lexsort((key, row))
+            key, row = key[order], row[order]
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(fresh)
+            others = np.searchsorted(row[at], np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("text_mark"), part.column("train"), _packed(ids.astype(kind), offsets),
+                 _packed(listed.astype(np.int32), words.first), _packed(key[at], others),
+                 _packed(np.diff(np.append(at, len(key))).astype(np.int32), others)],
+                names=["doc_id", "text_mark", "train", "ids", "listed", "others", "others_n"])
+
+    kind_of_id = rows.schema["doc_id"].dataType.simpleString()
+    return shared.written(rows.mapInArrow(run, f"doc_id {kind_of_id}, text_mark int, train boolean, ids binary, "
+                                               "listed binary, others binary, others_n binary"), "ids")
+
+
+def _texts(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of encoded rows, their ids joined, and the rows + 1 offsets."""
+    for batch in batches:
+        for part in blocks.slices(batch, "ids", ID_BYTES):
+            ids, offsets = _unpacked(part.column("ids"), kind)
+            yield part, ids, offsets
+
+
+def count(texts: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over all training texts: frequent words, ends and tokens; ids; pairs of symbol and column."""
-    m, n_ids, k = tables.model, len(tables.symbol), len(tables.words)
+    m, n_ids, k, kind = tables.model, len(tables.symbol), len(tables.words), _id_kind(tables)
     columns = m.symbols + m.classes
     sizes = [k + 2, n_ids, m.symbols * columns]
     borders = np.concatenate(([0], np.cumsum(sizes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(tables)
         words_n, ids_n, pairs_n = (np.zeros(n, np.int64) for n in sizes)
-        for part, words, hashes in _parts(batches):
-            ids, offsets, listed = subwords.of(words, hashes)
+        for part, ids, offsets in _texts(batches, kind):
+            listed, _ = _unpacked(part.column("listed"), np.int32)
             words_n[:k] += np.bincount(listed[listed >= 0], minlength=k)[:k]
             words_n[k] += part.num_rows                     # ends
-            words_n[k + 1] += len(words) + part.num_rows    # tokens
+            words_n[k + 1] += len(listed) + part.num_rows   # tokens
             ids_n += np.bincount(ids, minlength=n_ids)
             last = np.concatenate(([0], tables.symbol[ids[:-1]]))
             last[offsets[:-1]] = m.symbols - 1
@@ -243,7 +299,7 @@ def count(rows: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000]), pa.array(total[at[i:i + 100_000]])],
                                              names=["at", "n"])
 
-    sums = (rows.filter("train").select("text").mapInArrow(run, "at bigint, n bigint")
+    sums = (texts.filter("train").select("ids", "listed").mapInArrow(run, "at bigint, n bigint")
             .groupBy("at").agg(F.sum("n").alias("n"))).toArrow()   # bounded by the model's parameters
     total = np.zeros(borders[-1], np.int64)
     total[sums["at"].to_numpy()] = sums["n"].to_numpy()
@@ -258,7 +314,7 @@ def _shapes(m: Model) -> list[tuple[int, ...]]:
 def _split(theta: np.ndarray, m: Model) -> list[np.ndarray]:
     out, at = [], 0
     for shape in _shapes(m):
-        n = int(np.prod(shape))
+        n = math.prod(shape)
         out.append(theta[at:at + n].reshape(shape))
         at += n
     return out
@@ -272,52 +328,106 @@ def _begin(m: Model) -> np.ndarray:
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
-def _attend(symbols: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Hidden states of a batch of windows, each place seeing itself and those before it."""
+class Space:
+    """Arrays that are filled anew from batch to batch; fresh ones cost more than the arithmetic on them."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+        size, held = math.prod(shape), self.held.get(name)
+        if held is None or held.size < size or held.dtype != dtype:
+            held = self.held[name] = np.empty(size, dtype)
+        return held[:size].reshape(shape)
+
+
+@lru_cache(maxsize=4)
+def _allowed(t: int, kind: np.dtype) -> np.ndarray:
+    """Upper bounds of attention logits: later places get no weight, the others need no maximum."""
+    return np.where(np.tri(t, dtype=bool), 60.0, -1e9).astype(kind)
+
+
+def _attend(symbols: np.ndarray, weights: list[np.ndarray], space: Space | None = None) -> tuple[np.ndarray, ...]:
+    """Hidden states of a batch of windows, each place seeing itself and those before it; then what the
+    gradient needs: inputs, the same transposed, inputs times both key matrices, attention and what it takes
+    together. All of them are overwritten when the space is used again."""
     embed, place, qkv, _ = weights
-    x = embed[symbols] + place
-    n, t, d = x.shape
+    space = space or Space()
+    (n, t), d, kind = symbols.shape, embed.shape[1], embed.dtype
+    x = np.take(embed, symbols, axis=0, out=space("x", (n, t, d), kind), mode="clip")
+    x += place
     flat = x.reshape(-1, d)
-    q = (flat @ (qkv[:, :d] * np.float32(d ** -0.5))).reshape(n, t, d)
-    k = (flat @ qkv[:, d:2 * d]).reshape(n, t, d)
-    v = np.ones((n, t, d + 1), x.dtype)                 # the last column sums the weights
-    v[:, :, :d] = (flat @ qkv[:, 2 * d:]).reshape(n, t, d)
-    s = q @ k.transpose(0, 2, 1)
-    # Later places get no weight; the others are bounded, so that no maximum is needed.
-    np.minimum(s, np.where(np.tri(t, dtype=bool), 60.0, -1e9).astype(x.dtype), out=s)
-    np.exp(s, out=s)
-    y = s @ v
-    total = y[:, :, d:]
-    return x + y[:, :, :d] / total, x, q, k, v[:, :, :d], s, total
-
-
-def _step(symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray, tables: Tables,
-          theta: np.ndarray) -> np.ndarray:
+    turned = space("turned", (n, d, t), kind)
+    turned[:] = x.transpose(0, 2, 1)
+    joint = qkv[:, :d] @ qkv[:, d:2 * d].T * kind.type(d ** -0.5)
+    g = np.matmul(flat, joint, out=space("g", (n * t, d), kind)).reshape(n, t, d)
+    a = np.matmul(g, turned, out=space("a", (n, t, t), kind))
+    np.minimum(a, _allowed(t, kind), out=a)
+    np.exp(a, out=a)
+    a *= (1 / (a.reshape(-1, t) @ np.ones(t, kind))).reshape(n, t, 1)
+    c = np.matmul(a, x, out=space("c", (n, t, d), kind))
+    h = np.matmul(c.reshape(-1, d), qkv[:, 2 * d:], out=space("h", (n * t, d), kind))
+    h += flat
+    return h.reshape(n, t, d), x, turned, g, a, c
+
+
+def _weighed(h: np.ndarray, out: np.ndarray, before: np.ndarray, chance: np.ndarray, space: Space,
+             targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes' weights after hidden states, their sums, and the targets' logits; ``chance`` is exp(bigram)."""
+    shape = len(h), out.shape[1]
+    e = np.matmul(h, out, out=space("e", shape, h.dtype))
+    # No logit is above 60 unless a row's and a column's length allow it.
+    if ((h * h) @ np.ones(h.shape[1], h.dtype)).max(initial=0) * (out * out).sum(0).max() > 3600:
+        np.clip(e, -60, 60, out=e)
+    hit = e[np.arange(len(h)), targets]
+    np.exp(e, out=e)
+    e *= np.take(chance, before, axis=0, out=space("chance", shape, chance.dtype), mode="clip")
+    return e, e @ np.ones(shape[1], e.dtype), hit
+
+
+def _step(symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray, tables: Tables, theta: np.ndarray,
+          chance: np.ndarray | None = None, space: Space | None = None) -> np.ndarray:
     """Gradient of the mean loss over the masked places of a batch."""
-    m = tables.model
+    m, space = tables.model, space or Space()
+    chance = np.exp(tables.bigram) if chance is None else chance
     weights = _split(theta, m)
     _, _, qkv, out = weights
-    h, x, q, k, v, s, total = _attend(symbols, weights)
-    a = s / total
-    d, scale = m.width, np.float32(m.width ** -0.5)
-    logit = np.clip(h.reshape(-1, d) @ out, -60, 60)
-    np.exp(logit, out=logit)
-    logit *= np.exp(tables.bigram)[symbols.ravel()]
-    logit /= logit.sum(1, keepdims=True)
-    logit[np.arange(len(logit)), targets.ravel()] -= 1
-    logit *= (mask.ravel() / max(mask.sum(), 1))[:, None].astype(np.float32)
-    grad = [np.zeros(s, np.float32) for s in _shapes(m)]
-    grad[3] = h.reshape(-1, d).T @ logit
-    dh = (logit @ out.T).reshape(h.shape)
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dqkv = np.concatenate((ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh), axis=2)
-    grad[2] = x.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
-    dx = dh + (dqkv.reshape(-1, 3 * d) @ qkv.T).reshape(x.shape)
-    grad[1] = dx.sum(0)
+    h, x, turned, g, a, c = _attend(symbols, weights, space)
+    (n, t, d), flat, c, kind = x.shape, x.reshape(-1, m.width), c.reshape(-1, m.width), x.dtype
+    q, k, v, scale = qkv[:, :d], qkv[:, d:2 * d], qkv[:, 2 * d:], kind.type(d ** -0.5)
+    at = np.flatnonzero(mask)                           # only these places have a loss
+    h = np.take(h.reshape(-1, d), at, axis=0, out=space("wanted", (len(at), d), kind), mode="clip")
+    targets = targets.ravel().take(at)
+    e, total, _ = _weighed(h, out, symbols.ravel().take(at), chance, space, targets)
+    e[np.arange(len(at)), targets] -= total
+    part = (1 / (total * max(len(at), 1)))[:, None]     # e * part is the logits' gradient
+    grad = np.zeros(len(theta), theta.dtype)
+    d_embed, d_place, d_qkv, d_out = _split(grad, m)
+    dh = space("dh", (n * t, d), kind)
+    dh[:] = 0
+    dh[at] = np.matmul(e, out.T, out=space("back", h.shape, kind)) * part
+    h *= part
+    d_out[:] = h.T @ e
+    d_qkv[:, 2 * d:] = c.T @ dh
+    dc = np.matmul(dh, v.T, out=space("dc", (n * t, d), kind))
+    c *= dc
+    ds = np.matmul(dc.reshape(n, t, d), turned, out=space("ds", (n, t, t), kind))
+    ds -= (c @ np.ones(d, kind)).reshape(n, t, 1)
+    ds *= a
+    dg = np.matmul(ds, x, out=space("dg", (n, t, d), kind)).reshape(-1, d)
+    joint = flat.T @ dg * scale
+    d_qkv[:, :d] = joint @ k
+    d_qkv[:, d:2 * d] = joint.T @ q
+    dx = np.matmul(a.transpose(0, 2, 1), dc.reshape(n, t, d), out=space("dx", (n, t, d), kind))
+    dx += np.matmul(ds.transpose(0, 2, 1), g, out=space("c", (n, t, d), kind))
+    dx += dh.reshape(n, t, d)
+    dx += np.matmul(dg, k @ q.T * scale, out=space("c", (n * t, d), kind)).reshape(n, t, d)
+    d_place[:] = dx.sum(0)
+    columns = space("columns", (d, n * t), np.dtype(np.float64))
+    columns[:] = dx.reshape(-1, d).T
     for j in range(d):
-        grad[0][:, j] = np.bincount(symbols.ravel(), weights=dx[:, :, j].ravel(), minlength=m.symbols)
-    return np.concatenate([g.ravel() for g in grad])
+        d_embed[:, j] = np.bincount(symbols.ravel(), weights=columns[j], minlength=m.symbols)
+    return grad
 
 
 def _laid(n: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -340,46 +450,52 @@ def _seen(row: np.ndarray, first: np.ndarray, symbols: np.ndarray, offsets: np.n
     return at, last, wanted
 
 
-def _training_windows(part: pa.RecordBatch, words: blocks.Words, subwords: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _targets(ids: np.ndarray, offsets: np.ndarray, marks: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, target classes and mask of the windows over all ids, as texts are scored."""
-    t, m = subwords.t, subwords.t.model
-    ids, offsets, _ = subwords.of(words, words.hashes())
+    m = t.model
     row, first = _laid(np.diff(offsets), m)
     if m.train_every > 1:
-        turn = part.column("text_mark").to_numpy().astype(np.int64) % np.minimum(m.train_every, np.bincount(row))
+        turn = marks.astype(np.int64) % np.minimum(m.train_every, np.bincount(row))
         chosen = first // m.stride % m.train_every == turn[row]
         row, first = row[chosen], first[chosen]
     at, symbols, mask = _seen(row, first, t.symbol[ids], offsets, m)
     return symbols, t.group[ids[at]], mask
 
 
-def train(rows: DataFrame, tables: Tables) -> np.ndarray:
+def _training_windows(part: pa.RecordBatch, words: blocks.Words, subwords: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The targets of a slice of texts."""
+    ids, offsets, _ = subwords.of(words, words.hashes())
+    return _targets(ids, offsets, part.column("text_mark").to_numpy(), subwords.t)
+
+
+def train(texts: DataFrame, tables: Tables) -> np.ndarray:
     """Averaged weights after ``rounds`` passes of Adam in every task over its own windows."""
-    m = tables.model
+    m, kind = tables.model, _id_kind(tables)
 
     for turn in range(m.rounds):
         now = tables
 
         def run(batches: Iterator[pa.RecordBatch], now: Tables = now, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            subwords, theta = Subwords(now), now.theta.copy()
+            theta, chance, space = now.theta.copy(), np.exp(now.bigram), Space()
             mean, square, step, seen = np.zeros_like(theta), np.zeros_like(theta), 0, 0
             rate = m.rate / (1 + 2 * turn)
-            for part, words, _ in _parts(batches, hashed=False):
-                symbols, targets, mask = _training_windows(part, words, subwords)
+            for part, ids, offsets in _texts(batches, kind):
+                symbols, targets, mask = _targets(ids, offsets, part.column("text_mark").to_numpy(), now)
                 order = np.random.default_rng(turn).permutation(len(symbols))
                 for i in range(0, len(order), m.batch):
                     some = order[i:i + m.batch]
-                    g = _step(symbols[some], targets[some], mask[some], now, theta)
+                    g = _step(symbols[some], targets[some], mask[some], now, theta, chance, space)
                     step, seen = step + 1, seen + len(some)
                     mean += 0.1 * (g - mean)
-                    square += 0.01 * (g * g - square)
-                    theta -= rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-6)
+                    g *= g
+                    square += 0.01 * (g - square)
+                    theta -= mean * (rate / (1 - 0.9 ** step)) / (np.sqrt(square * (1 / (1 - 0.99 ** step))) + 1e-6)
             if seen:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(theta) + 1)), pa.array(np.append(theta, 1.0).astype(np.float64) * seen)],
                     names=["at", "v"])
 
-        sums = (rows.filter("train").select("text", "text_mark").mapInArrow(run, "at bigint, v double")
+        sums = (texts.filter("train").select("ids", "text_mark").mapInArrow(run, "at bigint, v double")
                 .groupBy("at").agg(F.sum("v").alias("v"))).toArrow()   # one row per weight
         total = np.zeros(len(tables.theta) + 1)
         total[sums["at"].to_numpy()] = sums["v"].to_numpy()
@@ -388,9 +504,9 @@ def train(rows: DataFrame, tables: Tables) -> np.ndarray:
     return tables.theta
 
 
-def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
+def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables, space: Space | None = None) -> np.ndarray:
     """log10 probability of each row's ids: overlapping windows, each id scored once."""
-    m, n = tables.model, np.diff(offsets)
+    m, n, space = tables.model, np.diff(offsets), space or Space()
     weights, chance = _split(tables.theta, m), np.exp(tables.bigram)
     symbols, groups = tables.symbol[ids], tables.group[ids]
     row, first = _laid(n, m)
@@ -398,23 +514,24 @@ def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.ndarray:
     before = np.concatenate(([0], symbols[:-1]))
     before[offsets[:-1]] = m.symbols - 1
     score += tables.pair[before, tables.column[ids]]
+    score += tables.bigram[before, groups]
     for i in range(0, len(row), BATCH_WINDOWS):
         r, f = row[i:i + BATCH_WINDOWS], first[i:i + BATCH_WINDOWS]
         at, last, wanted = _seen(r, f, symbols, offsets, m)
-        h = _attend(last, weights)[0][wanted]
-        there, before_it = at[wanted], last[wanted]
-        logit = h @ weights[3]
-        np.clip(logit, -60, 60, out=logit)
-        hit = logit[np.arange(len(logit)), groups[there]] + tables.bigram[before_it, groups[there]]
-        np.exp(logit, out=logit)
-        score[there] += hit - np.log(np.einsum("nc,nc->n", logit, chance[before_it]))
+        h = _attend(last, weights, space)[0]
+        wanted = np.flatnonzero(wanted)
+        there = at.ravel().take(wanted)
+        h = np.take(h.reshape(-1, m.width), wanted, axis=0, out=space("wanted", (len(there), m.width), h.dtype), mode="clip")
+        _, total, hit = _weighed(h, weights[3], before.take(there), chance, space, groups.take(there))
+        score[there] += hit - np.log(total)
     return np.add.reduceat(score, offsets[:-1]) / np.log(10) if len(n) else np.zeros(0)
 
 
-def fit(rows: DataFrame, model_file: str, model: Model) -> tuple[Tables, np.ndarray]:
-    """The trained tables, and the counts of the frequent words, ends and tokens."""
+def fit(rows: DataFrame, model_file: str, model: Model) -> tuple[Tables, np.ndarray, DataFrame]:
+    """The trained tables, the counts of the frequent words, ends and tokens, and the encoded texts."""
     tables = start_tables(frequent_words(rows, model), model_file, model)
-    words_n, ids_n, pairs_n = count(rows, tables)
+    texts = encoded(rows, tables)
+    words_n, ids_n, pairs_n = count(texts, tables)
     owner = np.zeros(pairs_n.shape[1], np.int64)            # the class of a column
     owner[tables.column] = tables.group
     owner[model.symbols:] = np.arange(model.classes)
@@ -430,66 +547,59 @@ def fit(rows: DataFrame, model_file: str, model: Model) -> tuple[Tables, np.ndar
     tables.pair = np.log(np.maximum(pair, 1e-30)).astype(np.float32)
     held = np.bincount(tables.column, weights=ids_n + 0.1, minlength=len(owner))
     tables.alone = np.log((ids_n + 0.1) / held[tables.column]).astype(np.float32)
-    train(rows, tables)
-    return tables, words_n
+    train(texts, tables)
+    return tables, words_n, texts
 
 
-def rare_words(rows: DataFrame, listed: np.ndarray) -> DataFrame:
+def rare_words(texts: DataFrame) -> DataFrame:
     """word, doc_id, text_mark, n, n_train of the words that are not listed; one row per text and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words, hashes in _parts(batches):
-            if len(listed):
-                other = listed[np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)] != hashes
-            else:
-                other = np.ones(len(hashes), dtype=bool)
-            key, row = hashes[other], words.row[other]
-            order = np.lexsort((key, row))
-            key, row = key[order], row[order]
-            fresh = np.ones(len(key), dtype=bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-            at = np.flatnonzero(fresh)
-            n = np.diff(np.append(at, len(key)))
-            of = row[at]
+        for part in batches:
+            key, offsets = _unpacked(part.column("others"), np.uint64)
+            n, _ = _unpacked(part.column("others_n"), np.int32)
+            of = np.repeat(np.arange(part.num_rows), np.diff(offsets))
             trained = part.column("train").to_numpy(zero_copy_only=False)[of]
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks.signed(key[at])), part.column("doc_id").take(take), part.column("text_mark").take(take),
-                 pa.array(n.astype(np.int32)), pa.array(np.where(trained, n, 0).astype(np.int32))],
+                [pa.array(blocks.signed(key)), part.column("doc_id").take(take), part.column("text_mark").take(take),
+                 pa.array(n), pa.array(np.where(trained, n, 0).astype(np.int32))],
                 names=["word", "doc_id", "text_mark", "n", "n_train"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"word bigint, doc_id {kind}, text_mark int, n int, n_train int")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return (texts.select("doc_id", "text_mark", "train", "others", "others_n")
+            .mapInArrow(run, f"word bigint, doc_id {kind}, text_mark int, n int, n_train int"))
 
 
 def score(docs: DataFrame, model_file: str, model: Model = Model()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = prepared(docs, model)
-    tables, counts = fit(rows, model_file, model)
-    k = len(tables.words)
+    rows = prepared(shared.long_texts(docs), model)
+    tables, counts, texts = fit(rows, model_file, model)
+    k, ids_kind = len(tables.words), _id_kind(tables)
     known_words, log_words = counts[:k] > 0, np.log10(counts[:k] + 0.1)
     end_known, end_log = int(counts[k] > 0), float(np.log10(counts[k] + 0.1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(tables)
-        for part, words, hashes in _parts(batches):
-            ids, offsets, listed = subwords.of(words, hashes)
+        space = Space()
+        for part, ids, offsets in _texts(batches, ids_kind):
+            listed, at = _unpacked(part.column("listed"), np.int32)
+            rows_n, words_n = part.num_rows, np.diff(at)
+            row = np.repeat(np.arange(rows_n), words_n)
             known, logs = np.append(known_words, 0.0)[listed], np.append(log_words, 0.0)[listed]
-            rows_n = part.num_rows
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_mark"), part.column("train"),
-                 pa.array(words.counts.astype(np.int64) + 1),
-                 pa.array(np.bincount(words.row, weights=known, minlength=rows_n).astype(np.int64) + end_known),
-                 pa.array(np.bincount(words.row, weights=logs, minlength=rows_n) + end_log),
-                 pa.array(_score(ids, offsets, tables))],
+                [part.column("doc_id"), part.column("text_mark"), part.column("train"), pa.array(words_n + 1),
+                 pa.array(np.bincount(row, weights=known, minlength=rows_n).astype(np.int64) + end_known),
+                 pa.array(np.bincount(row, weights=logs, minlength=rows_n) + end_log),
+                 pa.array(_score(ids, offsets, tables, space))],
                 names=["doc_id", "text_mark", "train", "n_tokens", "known", "logs", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, text_mark int, train boolean, n_tokens bigint, known bigint, "
-                                  "logs double, score double")
+    scored = (texts.select("doc_id", "text_mark", "train", "ids", "listed")
+              .mapInArrow(run, f"doc_id {kind}, text_mark int, train boolean, n_tokens bigint, known bigint, "
+                               "logs double, score double"))
     # Other words: to their count, then back to their text.
     word = Window.partitionBy("word")
-    counted = (rare_words(rows, tables.words)
+    counted = (rare_words(texts)
                .withColumn("c", F.sum("n_train").over(word))
                .withColumn("first", F.row_number().over(word.orderBy("doc_id", "text_mark")) == 1))
     back = shared.written(counted.groupBy("doc_id", "text_mark").agg(
