@@ -264,7 +264,7 @@ def encoded(rows: DataFrame, tables: Tables) -> DataFrame:
 
     kind_of_id = rows.schema["doc_id"].dataType.simpleString()
     return shared.written(rows.mapInArrow(run, f"doc_id {kind_of_id}, text_mark int, train boolean, ids binary, "
-                                               "listed binary, others binary, others_n binary"), "ids")
+                                               "listed binary, others binary, others_n binary"), "ids", "zstd")
 
 
 def _texts(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -343,7 +343,8 @@ class Space:
 
 @lru_cache(maxsize=4)
 def _allowed(t: int, kind: np.dtype) -> np.ndarray:
-    """Upper bounds of attention logits: later places get no weight, the others need no maximum."""
+    """Upper bounds of attention logits, which win over the lower one: later places get no weight, and a
+    place always sees itself, so no maximum is needed."""
     return np.where(np.tri(t, dtype=bool), 60.0, -1e9).astype(kind)
 
 
@@ -362,7 +363,7 @@ def _attend(symbols: np.ndarray, weights: list[np.ndarray], space: Space | None
     joint = qkv[:, :d] @ qkv[:, d:2 * d].T * kind.type(d ** -0.5)
     g = np.matmul(flat, joint, out=space("g", (n * t, d), kind)).reshape(n, t, d)
     a = np.matmul(g, turned, out=space("a", (n, t, t), kind))
-    np.minimum(a, _allowed(t, kind), out=a)
+    np.clip(a, -60, _allowed(t, kind), out=a)
     np.exp(a, out=a)
     a *= (1 / (a.reshape(-1, t) @ np.ones(t, kind))).reshape(n, t, 1)
     c = np.matmul(a, x, out=space("c", (n, t, d), kind))
@@ -372,14 +373,14 @@ def _attend(symbols: np.ndarray, weights: list[np.ndarray], space: Space | None
 
 
 def _weighed(h: np.ndarray, out: np.ndarray, before: np.ndarray, chance: np.ndarray, space: Space,
-             targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes' weights after hidden states, their sums, and the targets' logits; ``chance`` is exp(bigram)."""
+             cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes' weights after hidden states, their sums, and the logits in flat cells; ``chance`` is exp(bigram)."""
     shape = len(h), out.shape[1]
     e = np.matmul(h, out, out=space("e", shape, h.dtype))
     # No logit is above 60 unless a row's and a column's length allow it.
     if ((h * h) @ np.ones(h.shape[1], h.dtype)).max(initial=0) * (out * out).sum(0).max() > 3600:
         np.clip(e, -60, 60, out=e)
-    hit = e[np.arange(len(h)), targets]
+    hit = e.ravel().take(cell)
     np.exp(e, out=e)
     e *= np.take(chance, before, axis=0, out=space("chance", shape, chance.dtype), mode="clip")
     return e, e @ np.ones(shape[1], e.dtype), hit
@@ -397,15 +398,17 @@ def _step(symbols: np.ndarray, targets: np.ndarray, mask: np.ndarray, tables: Ta
     q, k, v, scale = qkv[:, :d], qkv[:, d:2 * d], qkv[:, 2 * d:], kind.type(d ** -0.5)
     at = np.flatnonzero(mask)                           # only these places have a loss
     h = np.take(h.reshape(-1, d), at, axis=0, out=space("wanted", (len(at), d), kind), mode="clip")
-    targets = targets.ravel().take(at)
-    e, total, _ = _weighed(h, out, symbols.ravel().take(at), chance, space, targets)
-    e[np.arange(len(at)), targets] -= total
+    cell = np.arange(len(at)) * m.classes + targets.ravel().take(at)
+    e, total, _ = _weighed(h, out, symbols.ravel().take(at), chance, space, cell)
+    e.reshape(-1)[cell] -= total
     part = (1 / (total * max(len(at), 1)))[:, None]     # e * part is the logits' gradient
     grad = np.zeros(len(theta), theta.dtype)
     d_embed, d_place, d_qkv, d_out = _split(grad, m)
     dh = space("dh", (n * t, d), kind)
     dh[:] = 0
-    dh[at] = np.matmul(e, out.T, out=space("back", h.shape, kind)) * part
+    back = np.matmul(e, out.T, out=space("back", h.shape, kind))
+    back *= part
+    dh[at] = back
     h *= part
     d_out[:] = h.T @ e
     d_qkv[:, 2 * d:] = c.T @ dh
@@ -522,7 +525,8 @@ def _score(ids: np.ndarray, offsets: np.ndarray, tables: Tables, space: Space |
         wanted = np.flatnonzero(wanted)
         there = at.ravel().take(wanted)
         h = np.take(h.reshape(-1, m.width), wanted, axis=0, out=space("wanted", (len(there), m.width), h.dtype), mode="clip")
-        _, total, hit = _weighed(h, weights[3], before.take(there), chance, space, groups.take(there))
+        cell = np.arange(len(there)) * m.classes + groups.take(there)
+        _, total, hit = _weighed(h, weights[3], before.take(there), chance, space, cell)
         score[there] += hit - np.log(total)
     return np.add.reduceat(score, offsets[:-1]) / np.log(10) if len(n) else np.zeros(0)
 

@@ -46,8 +46,8 @@ def matching(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame
     return df.join(F.broadcast(keys) if few else keys, column, how)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write to a new shared folder and read it again: cuts lineage, outlives executors."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

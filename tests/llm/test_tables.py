@@ -339,6 +339,46 @@ def test_gradient():
         assert abs((loss(theta + e) - loss(theta - e)) / 2e-4 - g[k]) < 2e-3
 
 
+def test_steps_share_their_arrays():
+    """A batch's gradient doesn't depend on what the arrays held before, also where logits are cut at 60."""
+    m = attention_lm.Model(symbols=12, classes=6, groups=2, window=5, stride=3, width=4)
+    rng, space = np.random.default_rng(3), attention_lm.Space()
+    tables = attention_lm.Tables(m, b"", None, None, None, 0, None, None, None, rng.normal(-2, 1, (12, 6)).astype(np.float32))
+    theta = rng.normal(0, 0.5, len(attention_lm._begin(m))).astype(np.float32)
+    for n, scale in ((7, 1), (2, 8), (9, 30), (1, 1), (9, 1)):
+        symbols, targets, mask = rng.integers(0, 12, (n, 5)), rng.integers(0, 6, (n, 5)), rng.random((n, 5)) < 0.7
+        weights = theta * np.float32(scale)
+        got = attention_lm._step(symbols, targets, mask, tables, weights, np.exp(tables.bigram), space)
+        alone = [attention_lm._step(symbols[i:i + 1], targets[i:i + 1], mask[i:i + 1], tables, weights) * mask[i].sum() for i in range(n)]
+        want = np.sum(alone, axis=0) / max(mask.sum(), 1)
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-3, atol=1e-4 * max(1, abs(want).max()))
+
+
+def test_texts_are_cut_once_for_all_steps(spark):
+    """The written rows hold all that counting, training, scoring and rare words need, and no text."""
+    import sentencepiece
+
+    rows = [(1, None), (2, ""), (3, "The the ODD information"), (3, "The the ODD information"), (None, "x" * 70 + " the"), (4, "odd " * 3000)]
+    docs = attention_lm.prepared(spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    tables = attention_lm.start_tables(["the", "information"], piece_codec.default_model(), SMALL)
+    texts = attention_lm.encoded(docs, tables)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
+    assert "text" not in texts.columns and texts.count() == len(rows)
+    got = sorted((r.doc_id or 0, np.frombuffer(r.ids, np.uint16).tolist(), len(r.listed) // 4,
+                  (np.frombuffer(r.listed, np.int32) < 0).sum(), np.frombuffer(r.others_n, np.int32).sum(), len(r.others) // 8)
+                 for r in texts.collect())
+    want = []
+    for i, text in rows:
+        words = (text or "").lower().split()
+        other = [w for w in words if w not in ("the", "information")]
+        want.append((i or 0, [x for w in words for x in pieces.encode(w)] + [pieces.eos_id()], len(words), len(other), len(other), len(set(other))))
+    assert got == sorted(want)
+    words_n, ids_n, pairs_n = attention_lm.count(texts, tables)
+    trained = [x for i, ids, *_ in want if zlib.crc32(str(i).encode()) % 10 and i for x in ids]
+    assert words_n[-1] == sum(w[2] + 1 for w in want if w[0] and zlib.crc32(str(w[0]).encode()) % 10)
+    assert ids_n.tolist() == np.bincount(trained, minlength=len(ids_n)).tolist() and pairs_n.sum() == len(trained)
+
+
 # ------------------------------------------------------------------- pipeline
 
 def test_stages_in_order(spark, sf):
