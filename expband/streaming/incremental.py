@@ -12,10 +12,15 @@ from expband.sources import io
 
 def read_arriving(spark: SparkSession, folder: str, schema: str,
                   files_per_batch: int = 100) -> DataFrame:
-    """Posting files as a stream; the schema names the columns in file order."""
+    """Posting files as a stream; the schema names the columns in file order.
+
+    A multi-line file is read by one task. Where a batch has fewer files than there are
+    cores, its rows are dealt out to all of them, as parsing is a small part of scoring.
+    """
     raw = (spark.readStream.schema(schema).options(**io.CSV_OPTIONS)
            .option("maxFilesPerTrigger", files_per_batch).csv(folder))
-    return io.resolve_columns(raw)
+    cores = spark.sparkContext.defaultParallelism
+    return io.resolve_columns(raw if files_per_batch >= cores else raw.repartition(cores))
 
 
 def score_arriving(postings: DataFrame, model: TrainedModel, target: str, checkpoint: str,

@@ -131,6 +131,38 @@ def test_files_in_files_out_and_stream_equals_batch(spark, sf, model, tmp_path):
     assert spark.read.parquet(str(tmp_path / "stream")).count() == p.count()
 
 
+def test_batch_of_one_file_is_scored_by_all_cores(spark, sf, tmp_path):
+    """Only parsing is left to the one task that can read a multi-line file."""
+    from expband.functions import rules
+    p = fx.postings(spark, sf).select("job_id", "title", "description")
+    p.coalesce(1).write.options(**io.WRITE_OPTIONS).csv(str(tmp_path / "in"), quoteAll=True)
+    arriving = incremental.read_arriving(
+        spark, str(tmp_path / "in"), "job_id string, title string, description string", files_per_batch=1)
+    hits = rules.rule_hits(arriving).select("job_id", F.spark_partition_id().alias("task"), "hit")
+    hits.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.select("task").distinct().count() == spark.sparkContext.defaultParallelism
+    assert sorted(out.select("job_id", "hit").collect()) == sorted(rules.rule_hits(p).select("job_id", "hit").collect())
+
+
+def test_stream_files_follow_the_input(spark, sf, monkeypatch):
+    """More input comes in more files, not larger ones, and still in the same number of batches."""
+    from expband.plans import catalog
+    want = sorted(catalog.stream_equals_batch(spark, sf).collect())
+    seen = []
+    read = incremental.read_arriving
+
+    def reading(spark, folder, schema, files_per_batch):
+        seen.append((len(spark.read.text(folder).inputFiles()), files_per_batch))
+        return read(spark, folder, schema, files_per_batch)
+    monkeypatch.setattr(incremental, "read_arriving", reading)
+    monkeypatch.setattr(catalog, "ARRIVING_BYTES", 20_000)
+    assert sorted(catalog.stream_equals_batch(spark, sf).collect()) == want
+    [(files, per_batch)] = seen
+    assert files == catalog.ARRIVING_BATCHES * per_batch and per_batch > 1
+
+
 def test_label_flags_and_values(spark, tmp_path):
     records = ('[{"job_id": "a", "label": 1, "unsure": 1}, {"job_id": "b", "label": "2", "unsure": "yes"},'
                '{"job_id": "c", "label": 3, "unsure": "True"}, {"job_id": "d", "label": 4, "unsure": true},'
